@@ -6,12 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import mixing, pii, secret_scan
+from docfields.llm import ann, fingerprints, mixing, pii, quality, secret_scan, unigram
 from docfields.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Documents whose labels are held out of training.
+HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), f"not ({HELD_OUT})")
+    return quality.score(docs, model).selectExpr(
+        "doc_id", f"coalesce({HELD_OUT}, false) held_out", "score", f"cast(score >= {quality.ACCEPT} as int) predicted"
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(secret_scan.samples(spark)))
 
@@ -20,12 +40,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_secret_scan, op7_mixing, op10_pii)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_neighbours, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Rows of a source that one key range should hold.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
