@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import ann, fingerprints, mixing, pii, quality, secret_scan, unigram
+from docfields.llm import ann, fingerprints, jaccard, mixing, pii, quality, secret_scan, unigram
 from docfields.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,13 +44,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_neighbours, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op10_pii)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_neighbours, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op9_jaccard, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL}
+    return {"op7_mixing": mixing.SQL, "op9_jaccard": jaccard.SQL}
