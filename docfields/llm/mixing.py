@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfields.llm.base import cut
+
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Rows of a source that one key range should hold.
@@ -65,6 +67,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
         words(F.col("text")).alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("key"),
     )
+    rows = cut(rows)  # the texts are read once; what is left is a few numbers a document
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(sizes).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS)).withColumnRenamed("source", "of")
     rows = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).drop("of")
