@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import ann, fingerprints, jaccard, mixing, pii, quality, secret_scan, unigram
+from docfields.llm import ann, fingerprints, jaccard, mixing, pii, quality, secret_scan, suffix_dedup, unigram
 from docfields.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"))
 
@@ -53,8 +57,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_neighbours, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op9_jaccard, op10_pii)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_neighbours, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op9_jaccard, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL, "op9_jaccard": jaccard.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op7_mixing": mixing.SQL, "op9_jaccard": jaccard.SQL}
