@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docfields.llm import ann, fingerprints, jaccard, mixing, pii, quality, secret_scan, suffix_dedup, unigram
+from docfields.llm import ann, fingerprints, jaccard, licenses, mixing, pii, quality, secret_scan, suffix_dedup, unigram
 from docfields.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,12 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no names by which to know license files, so each licensed document stands for its directory."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(licenses.document_paths(docs), license_file=F.lit(True))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), f"not ({HELD_OUT})")
@@ -57,7 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_neighbours, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op9_jaccard, op10_pii)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_sentencepiece, op3_neighbours, op4_licenses, op5_quality, op6_secret_scan, op7_mixing, op8_fingerprints, op9_jaccard, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
