@@ -59,13 +59,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "n", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, budget for each row of ``docs``."""
+def _key(seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+
+
+def _cut(docs: DataFrame, seed: str) -> DataFrame:
+    """One row for each row of ``docs``: its numbers, its source's, and `before`, the words of the source that come before it."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        words(F.col("text")).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("key"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _key(seed).alias("key")
     )
     rows = cut(rows)  # the texts are read once; what is left is a few numbers a document
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -82,14 +83,50 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     )
     rows = rows.join(parts, rows["source"].eqNullSafe(parts["of"]) & (rows["range"] == parts["at"]))
     budget = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0))
-    before = F.col("base") + F.col("upto") - F.col("size")
-    rest = F.col("budget") - F.col("whole") * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    rows = rows.withColumn("budget", budget).withColumn("whole", whole)
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "budget"
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rows = rows.withColumn("before", F.col("base") + F.col("upto") - F.col("size")).withColumn("whole", whole)
+    return rows.withColumn("rest", budget - whole * F.col("source_size"))
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for each row of ``docs``."""
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return _cut(docs, seed).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken")
+    )
+
+
+def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each epoch in which a document is taken.
+
+    The document at which a source's budget ends is cut to the words that are left, joined by blanks; rows of one id
+    and size at that place share them evenly.  Only one row a source, the place of its cut, meets the texts.
+    """
+    rows = _cut(docs, seed)
+    same = Window.partitionBy("source", "range", "key", "doc_id", "size")
+    ties = rows.withColumn("first", F.min("before").over(same)).withColumn("ties", F.count(F.lit(1)).over(same))
+    ends = ties.where("rest > 0 and before < rest and before + size >= rest").groupBy("source").agg(
+        *(F.first(c).alias(f"_{c}") for c in ("key", "doc_id", "size", "whole")),
+        F.first(F.least("size", F.floor((F.col("rest") - F.col("first")) / F.col("ties")))).alias("_part"),
     )
+    none = rows.where("rest <= 0").groupBy("source").agg(F.first("whole").alias("_whole"))
+    ends = ends.unionByName(none, allowMissingColumns=True).withColumnRenamed("source", "_source")
+    at = F.struct(F.col("_now").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    end = F.struct(F.col("_key").alias("key"), F.col("_doc_id").alias("doc_id"))
+    size = words(F.col("text"))
+    less = F.when(F.col("_key").isNull(), F.lit(False)).when(at < end, F.lit(True)).when(at == end, size < F.col("_size")).otherwise(F.lit(False))
+    equal = F.when((F.col("_now") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")), size == F.col("_size")).otherwise(F.lit(False))
+    joined = docs.withColumn("_now", _key(seed)).join(ends, docs["source"].cast("string").eqNullSafe(F.col("_source")))
+    joined = joined.withColumn("_copies", F.col("_whole") + less.cast("long")).withColumn("_left", F.when(equal, F.col("_part")).otherwise(F.lit(0)).cast("int"))
+    full = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    takes = F.concat(full, F.when(F.col("_left") > 0, F.array("_left")).otherwise(F.expr("cast(array() as array<int>)")))
+    out = joined.withColumn("_take", F.explode(takes))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_take")), " ")
+    out = out.withColumn("text", F.when(F.col("_take") > 0, head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_take") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 SQL = rf"""
