@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docfields.functions.binding import let
+
 _BLANK = r"[ \t\n\x0B\f\r]"
 
 
@@ -22,24 +24,21 @@ def strip(c: Column) -> Column:
 
 def gender(c: Column) -> Column:
     """男, 女 or empty."""
-    s = strip(c)
-    low = ascii_lower(s)
-    male = s.contains("男")
-    return (
-        F.when(male, "男")
-        .when(s.contains("女"), "女")
-        .when(low.isin("male", "m"), "男")
-        .when(low.isin("female", "f"), "女")
-        .when(s == "1", "男")
-        .when(s.isin("0", "2"), "女")
-        .otherwise("")
-    )
+
+    def of(v: Column) -> Column:
+        return (
+            F.when(v.contains("男") | v.isin("1") | ascii_lower(v).isin("male", "m") & ~v.contains("女"), "男")
+            .when(v.contains("女") | v.isin("0", "2") | ascii_lower(v).isin("female", "f"), "女")
+            .otherwise("")
+        )
+
+    return F.coalesce(let(strip(c), of), F.lit(""))
 
 
 def age(c: Column) -> Column:
     """The first one to three digits after the start or anything but a digit or a minus; -1 where there are none or more than 150."""
     found = F.regexp_extract(strip(c), r"(?:^|[^-\d])(\d{1,3})", 1).try_cast("int")
-    return F.when(reasonable_age(found), found).otherwise(F.lit(-1))
+    return let(found, lambda n: F.when(reasonable_age(n), n).otherwise(F.lit(-1)))
 
 
 def reasonable_age(years: Column) -> Column:
@@ -58,18 +57,17 @@ DATE_FORMS = (r"(\d{4})年(\d{1,2})月(\d{1,2})日", r"(\d{4})[-/.](\d{1,2})[-/.
 
 def date(c: Column) -> Column:
     """``YYYY-MM-DD`` of the first form whose first match is a calendar date; null where there is none."""
-    s = F.regexp_replace(c, rf"{_BLANK}", "")
-    tries = []
-    for form in DATE_FORMS:
-        y, m, d = (F.regexp_extract(s, form, i).try_cast("int") for i in (1, 2, 3))
-        tries.append(F.when(valid_date(y, m, d), F.format_string("%d-%02d-%02d", y, m, d)))
-    return F.coalesce(*tries)
+
+    def of(form: str, v: Column) -> Column:
+        part = F.struct(*(F.regexp_extract(v, form, i).try_cast("int").alias(n) for i, n in ((1, "y"), (2, "m"), (3, "d"))))
+        return let(part, lambda p: F.when(valid_date(p["y"], p["m"], p["d"]), F.format_string("%d-%02d-%02d", p["y"], p["m"], p["d"])))
+
+    return let(F.regexp_replace(c, _BLANK, ""), lambda v: F.coalesce(*(of(form, v) for form in DATE_FORMS)))
 
 
 def date_result(c: Column) -> Column:
     """struct<normalized, valid, raw>."""
-    found = date(c)
-    return F.struct(F.coalesce(found, F.lit("")).alias("normalized"), found.isNotNull().alias("valid"), c.alias("raw"))
+    return let(date(c), lambda found: F.struct(F.coalesce(found, F.lit("")).alias("normalized"), found.isNotNull().alias("valid"), c.alias("raw")))
 
 
 def age_at(birth: Column, as_of: Column) -> Column:
@@ -83,10 +81,12 @@ def age_at(birth: Column, as_of: Column) -> Column:
 
 def id_corrected(c: Column) -> Column:
     """Usual misreadings of digits put right; a small x counts as X at the last or eighteenth place."""
-    s = F.translate(c, "OoIilLZzB×", "001111228X")
-    upper = lambda t, at: F.concat(F.substring(t, 1, at - 1), F.lit("X"), F.substring(t, at + 1, 1 << 20))
-    s = F.when(F.substring(s, 18, 1) == "x", upper(s, 18)).otherwise(s)
-    return F.when(s.endswith("x"), F.concat(s.substr(F.lit(1), F.length(s) - 1), F.lit("X"))).otherwise(s)
+
+    def of(v: Column) -> Column:
+        upper = F.regexp_replace(v, r"(?s)\A(.{17})x", "$1X")
+        return F.regexp_replace(upper, r"x\z", "X")
+
+    return of(F.translate(c, "OoIilLZzB×", "001111228X"))
 
 
 #: Weights and check characters of national identity numbers.
@@ -117,16 +117,19 @@ def id_gender(c: Column) -> Column:
 
 def id_result(c: Column) -> Column:
     """struct<cleaned_number, format_valid, checksum_valid, birth_date, gender>; null counts as empty."""
-    cleaned = id_corrected(F.coalesce(c, F.lit("")))
-    formed = cleaned.rlike(r"\A[0-9]{17}[0-9X]\z")
-    right = F.coalesce(id_checksum(F.substring(cleaned, 1, 17)) == F.substring(cleaned, 18, 1), F.lit(False))
-    return F.struct(
-        cleaned.alias("cleaned_number"),
-        formed.alias("format_valid"),
-        (formed & right).alias("checksum_valid"),
-        F.when(formed, id_birth_date(cleaned)).otherwise("").alias("birth_date"),
-        F.when(formed, id_gender(cleaned)).otherwise("").alias("gender"),
-    )
+
+    def of(cleaned: Column) -> Column:
+        formed = cleaned.rlike(r"\A[0-9]{17}[0-9X]\z")
+        right = F.coalesce(id_checksum(F.substring(cleaned, 1, 17)) == F.substring(cleaned, 18, 1), F.lit(False))
+        return F.struct(
+            cleaned.alias("cleaned_number"),
+            formed.alias("format_valid"),
+            (formed & right).alias("checksum_valid"),
+            F.when(formed, id_birth_date(cleaned)).otherwise("").alias("birth_date"),
+            F.when(formed, id_gender(cleaned)).otherwise("").alias("gender"),
+        )
+
+    return let(id_corrected(F.coalesce(c, F.lit(""))), of)
 
 
 def masked_id(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docfields.functions import geometry as g
+from docfields.functions.binding import let
 
 
 def placed(boxes: Column) -> Column:
@@ -34,9 +35,9 @@ def anchor(boxes: Column, anchors: Column) -> Column:
 def _nearest(boxes: Column, a: Column, ahead, furthest: Column) -> Column:
     """The nearest other box that lies ahead of ``a``, of equally near ones the first."""
     far = lambda b: g.distance(a["x"], a["y"], b["x"], b["y"])
-    near = F.filter(boxes, lambda b: (b["idx"] != a["idx"]) & ahead(b) & (far(b) <= g.f32(furthest)))
-    best = F.array_min(F.transform(near, lambda b: F.struct(far(b).alias("d"), b["idx"].alias("idx"))))
-    return F.get(boxes, best["idx"])
+    met = F.filter(boxes, lambda b: (b["idx"] != a["idx"]) & ahead(b))
+    ranked = F.transform(met, lambda b: F.struct(far(b).alias("d"), b["idx"].alias("idx")))
+    return let(F.array_min(ranked), lambda best: F.when(best["d"] <= g.f32(furthest), F.get(boxes, best["idx"])))
 
 
 def right(boxes: Column, a: Column, tolerance: Column, furthest: Column) -> Column:
@@ -54,17 +55,29 @@ def _field(value: Column, confidence: Column, points: Column, method: str) -> Co
     )
 
 
-def _by_anchor(boxes: Column, rule: Column, down: bool) -> Column:
-    a = anchor(boxes, rule["anchors"])
-    found = beneath(boxes, a, rule["max_distance"]) if down else right(boxes, a, rule["same_line_tolerance"], rule["max_distance"])
-    # The region judges the nearest box; a farther one inside it does not step in.
-    fits = found.isNotNull() & g.in_region(found["x"], found["y"], rule["region"])
-    return F.when(fits, _field(found["text"], found["confidence"], found["points"], "anchor_below" if down else "anchor_right"))
+def _by_anchor(boxes: Column, rule: Column, a: Column, down: bool) -> Column:
+    def judged(found: Column) -> Column:
+        # The region judges the nearest box; a farther one inside it does not step in.
+        fits = found.isNotNull() & g.in_region(found["x"], found["y"], rule["region"])
+        return F.when(fits, _field(found["text"], found["confidence"], found["points"], "anchor_below" if down else "anchor_right"))
+
+    return let(beneath(boxes, a, rule["max_distance"]) if down else right(boxes, a, rule["same_line_tolerance"], rule["max_distance"]), judged)
+
+
+def by_anchor(boxes: Column, rule: Column) -> Column:
+    """Field beside the anchor: below it where the rule's direction says so, else right of it; where nothing is there
+    and the rule's kind names a way, the other way is tried.  Null where neither finds one."""
+    down = rule["search_direction"] == "below"
 
+    def ways(a: Column) -> Column:
+        # Each way is worked out once, and only if it is the first or the kind calls for it.
+        first_or = lambda first, kind, way: F.when(first | (rule["extraction_type"] == kind), way)
+        both = F.struct(
+            first_or(~down, "anchor_below", _by_anchor(boxes, rule, a, False)).alias("right"), first_or(down, "anchor_right", _by_anchor(boxes, rule, a, True)).alias("below")
+        )
+        return let(both, lambda w: F.when(down, F.coalesce(w["below"], w["right"])).otherwise(F.coalesce(w["right"], w["below"])))
 
-def by_anchor(boxes: Column, rule: Column, direction: Column) -> Column:
-    """Field beside the anchor: below it where the direction says so, else right of it; null where none is found."""
-    return F.when(direction == "below", _by_anchor(boxes, rule, True)).otherwise(_by_anchor(boxes, rule, False))
+    return let(anchor(boxes, rule["anchors"]), lambda a: F.when(a.isNotNull(), ways(a)))
 
 
 def between(boxes: Column, start: Column, end: Column) -> Column:
@@ -92,18 +105,20 @@ def mean_confidence(boxes: Column) -> Column:
 
 def paragraph(boxes: Column, rule: Column) -> Column:
     """Field of all text between a start and an end anchor; null where either is missing or nothing lies between."""
-    start = anchor(boxes, rule["start_anchors"])
-    end = end_anchor(boxes, start, rule["end_anchors"])
-    inside = between(boxes, start, end)
-    text = F.array_join(F.transform(inside, lambda b: b["text"]), "\n")
-    found = start.isNotNull() & end.isNotNull() & (F.size(inside) > 0)
-    return F.when(found, _field(text, mean_confidence(inside), start["points"], "paragraph_between_anchors"))
+
+    def told(start: Column, inside: Column) -> Column:
+        text = F.array_join(F.transform(inside, lambda b: b["text"]), "\n")
+        return F.when(F.size(inside) > 0, _field(text, mean_confidence(inside), start["points"], "paragraph_between_anchors"))
+
+    def spanned(start: Column, end: Column) -> Column:
+        return F.when(end.isNotNull(), let(between(boxes, start, end), lambda inside: told(start, inside)))
+
+    def begun(start: Column) -> Column:
+        return F.when(start.isNotNull(), let(end_anchor(boxes, start, rule["end_anchors"]), lambda end: spanned(start, end)))
+
+    return let(anchor(boxes, rule["start_anchors"]), begun)
 
 
 def extracted(boxes: Column, rule: Column) -> Column:
-    """Field of a rule, with the other direction tried where the rule's kind says so; null where nothing is found."""
-    primary = by_anchor(boxes, rule, rule["search_direction"])
-    other = F.when(rule["extraction_type"] == "anchor_right", F.lit("below")).when(rule["extraction_type"] == "anchor_below", F.lit("right"))
-    # At most one of the two ways is taken again.
-    second = F.when(other == "below", _by_anchor(boxes, rule, True)).when(other == "right", _by_anchor(boxes, rule, False))
-    return F.when(rule["extraction_type"] == "paragraph_between_anchors", paragraph(boxes, rule)).otherwise(F.coalesce(primary, second))
+    """Field of a rule; null where nothing is found."""
+    return F.when(rule["extraction_type"] == "paragraph_between_anchors", paragraph(boxes, rule)).otherwise(by_anchor(boxes, rule))

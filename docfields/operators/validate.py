@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docfields.functions import scalars as s
+from docfields.functions.binding import let
 
 
 def validated(field: Column, data_type: Column, masked: bool = False) -> Column:
@@ -13,27 +14,44 @@ def validated(field: Column, data_type: Column, masked: bool = False) -> Column:
 
     ``masked`` keeps identity numbers out of warnings.
     """
-    raw, value = field["raw_value"], s.strip(field["value"])
-    gender, date, age, number = s.gender(value), s.date(value), s.age(value), s.id_result(value)
-
-    def out(new: Column, old: Column, status: Column | str, warning: Column | None = None) -> Column:
-        changed = field.withField("value", new).withField("raw_value", old).withField("validation_status", F.lit(status) if isinstance(status, str) else status)
-        return F.struct(changed.alias("field"), (F.lit(None).cast("string") if warning is None else warning).alias("warning"))
-
-    quoted = lambda what, c: F.concat(F.lit(f"{what}: '"), c, F.lit("'"))
-    return (
-        F.when(F.coalesce(field["value"], F.lit("")) == "", out(field["value"], raw, field["validation_status"]))
-        .when((data_type == "gender") & (gender != ""), out(gender, value, "valid"))
-        .when(data_type == "gender", out(value, raw, "uncertain", quoted("Gender value could not be normalized", raw)))
-        .when((data_type == "date") & date.isNotNull(), out(date, value, "valid"))
-        .when(data_type == "date", out(value, raw, "uncertain", quoted("Date could not be normalized", value)))
-        .when((data_type == "age") & (age >= 0), out(age.cast("string"), value, "valid"))
-        .when(data_type == "age", out(value, raw, "uncertain", quoted("Age could not be parsed", value)))
-        .when((data_type == "id_number") & number["checksum_valid"], out(number["cleaned_number"], value, "valid"))
-        .when((data_type == "id_number") & number["format_valid"], out(number["cleaned_number"], value, "uncertain", F.lit("ID number checksum failed")))
-        .when(data_type == "id_number", out(value, value, "invalid", quoted("ID number format invalid", s.masked_id(value) if masked else value)))
-        .otherwise(out(value, raw, F.when(value == "", "invalid").otherwise("valid")))
-    )
+
+    def typed(raw: Column, value: Column, n: Column) -> Column:
+        def out(new: Column, old: Column, status: Column | str, warning: Column | None = None) -> Column:
+            parts = (new.alias("value"), old.alias("raw"), (F.lit(status) if isinstance(status, str) else status).alias("status"))
+            return F.struct(*parts, (F.lit(None).cast("string") if warning is None else warning).alias("warning"))
+
+        quoted = lambda what, c: F.concat(F.lit(f"{what}: '"), c, F.lit("'"))
+        return (
+            F.when(raw.isNull() | (n["text"] == ""), out(n["text"], raw, n["status"]))
+            .when(n["gender"] != "", out(n["gender"], value, "valid"))
+            .when(n["gender"] == "", out(value, raw, "uncertain", quoted("Gender value could not be normalized", raw)))
+            .when(n["date"]["valid"], out(n["date"]["normalized"], value, "valid"))
+            .when(~n["date"]["valid"], out(value, raw, "uncertain", quoted("Date could not be normalized", value)))
+            .when(n["age"] >= 0, out(n["age"].cast("string"), value, "valid"))
+            .when(n["age"] < 0, out(value, raw, "uncertain", quoted("Age could not be parsed", value)))
+            .when(n["number"]["checksum_valid"], out(n["number"]["cleaned_number"], value, "valid"))
+            .when(n["number"]["format_valid"], out(n["number"]["cleaned_number"], value, "uncertain", F.lit("ID number checksum failed")))
+            .when(n["number"].isNotNull(), out(value, value, "invalid", quoted("ID number format invalid", s.masked_id(value) if masked else value)))
+            .otherwise(out(value, raw, F.when(value == "", "invalid").otherwise("valid")))
+        )
+
+    def judged(value: Column) -> Column:
+        # Only the value's own type is worked out; the others are null.
+        only = lambda kind, c: F.when(data_type == kind, c).alias(kind.removeprefix("id_"))
+        own = F.struct(
+            F.coalesce(field["value"], F.lit("")).alias("text"), field["validation_status"].alias("status"), only("gender", s.gender(value)),
+            only("date", s.date_result(value)), only("age", s.age(value)), only("id_number", s.id_result(value)),
+        )
+        return let(own, lambda n: typed(F.coalesce(field["raw_value"], F.lit("")), value, n))
+
+    def put(x: Column) -> Column:
+        changed = F.struct(
+            x["value"].alias("value"), x["raw"].alias("raw_value"), field["confidence"].alias("confidence"), field["source_bbox"].alias("source_bbox"),
+            field["extraction_method"].alias("extraction_method"), x["status"].alias("validation_status"),
+        )
+        return F.struct(changed.alias("field"), x["warning"].alias("warning"))
+
+    return let(let(s.strip(F.coalesce(field["value"], F.lit(""))), judged), put)
 
 
 def conflicts(fields: Column, as_of: Column) -> Column:
