@@ -149,46 +149,44 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _scalar(name: str, source: str, columns: dict[str, tuple[Column, str]]) -> None:
-    """A query of one expression a column, with its SQL."""
+def _scalar(name: str, source: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """A query of one expression a column, with its SQL.  Expressions are made when the query runs: they need a session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return made(spark, sf_dir, source).select("k", *(c.alias(n) for n, (c, _) in columns.items()))
+        return made(spark, sf_dir, source).select("k", *(c().alias(n) for n, (c, _) in columns.items()))
 
     run.__name__ = name
     _query(f"select k, {', '.join(f'{q} as {n}' for n, (_, q) in columns.items())} from ({source}) as t")(run)
 
 
 def _register_scalars() -> None:
-    raw, f = F.col("raw"), F.col("f")
-    _scalar("strip_values", RAW, {"value": (s.strip(raw), _strip("raw"))})
-    _scalar("ascii_lower", RAW, {"value": (s.ascii_lower(raw), "lower(raw)")})
-    _scalar("normalize_gender", GENDERS, {"value": (s.gender(raw), _gender("raw"))})
-    _scalar("extract_age", AGES, {"value": (s.age(raw), _age("raw")), "reasonable": (s.reasonable_age(s.age(raw)), f"{_age('raw')} between 0 and 150")})
-    _scalar("normalize_date", DATES, {"normalized": (s.date_result(raw)["normalized"], f"coalesce({_date('raw')}, '')"), "valid": (s.date_result(raw)["valid"], f"{_date('raw')} is not null")})
-    _scalar("valid_date", PARTS, {"valid": (s.valid_date(F.col("y"), F.col("m"), F.col("d")), _valid("y", "m", "d"))})
+    _scalar("strip_values", RAW, {"value": (lambda: s.strip(F.col("raw")), _strip("raw"))})
+    _scalar("ascii_lower", RAW, {"value": (lambda: s.ascii_lower(F.col("raw")), "lower(raw)")})
+    _scalar("normalize_gender", GENDERS, {"value": (lambda: s.gender(F.col("raw")), _gender("raw"))})
+    _scalar("extract_age", AGES, {"value": (lambda: s.age(F.col("raw")), _age("raw")), "reasonable": (lambda: s.reasonable_age(s.age(F.col("raw"))), f"{_age('raw')} between 0 and 150")})
+    _scalar("normalize_date", DATES, {"normalized": (lambda: s.date_result(F.col("raw"))["normalized"], f"coalesce({_date('raw')}, '')"), "valid": (lambda: s.date_result(F.col("raw"))["valid"], f"{_date('raw')} is not null")})
+    _scalar("valid_date", PARTS, {"valid": (lambda: s.valid_date(F.col("y"), F.col("m"), F.col("d")), _valid("y", "m", "d"))})
     day = "2026-07-20"
     part = lambda a, n: f"try_cast(substr(birth, {a}, {n}) as int)"
     early = f"(720 < {part(6, 2)} * 100 + {part(9, 2)})"
-    _scalar("calc_age", BIRTHS, {"age": (s.age_at(F.col("birth"), F.lit(day)), f"coalesce(case when strlen(birth) >= 10 then 2026 - {part(1, 4)} - case when {early} then 1 else 0 end end, -1)")})
-    _scalar("id_correct", NUMBERS, {"value": (s.id_corrected(raw), _corrected("raw"))})
-    _scalar("id_checksum", FIRST17, {"value": (s.id_checksum(f), _checksum("f"))})
+    _scalar("calc_age", BIRTHS, {"age": (lambda: s.age_at(F.col("birth"), F.lit(day)), f"coalesce(case when strlen(birth) >= 10 then 2026 - {part(1, 4)} - case when {early} then 1 else 0 end end, -1)")})
+    _scalar("id_correct", NUMBERS, {"value": (lambda: s.id_corrected(F.col("raw")), _corrected("raw"))})
+    _scalar("id_checksum", FIRST17, {"value": (lambda: s.id_checksum(F.col("f")), _checksum("f"))})
     odd = "case when regexp_full_match(substr(f, 17, 1), '[0-9]') then case when cast(substr(f, 17, 1) as int) % 2 = 1 then '男' else '女' end else '' end"
-    _scalar("id_birth_gender", FIRST17, {"birth": (s.id_birth_date(f), _birth("f")), "gender": (s.id_gender(f), odd)})
+    _scalar("id_birth_gender", FIRST17, {"birth": (lambda: s.id_birth_date(F.col("f")), _birth("f")), "gender": (lambda: s.id_gender(F.col("f")), odd)})
     c = _corrected("raw")
     formed = f"regexp_full_match({c}, '[0-9]{{17}}[0-9X]')"
     right = f"({formed} and coalesce({_checksum(f'substr({c}, 1, 17)')} = substr({c}, 18, 1), false))"
-    r = s.id_result(raw)
-    _scalar("id_validate", NUMBERS, {"cleaned": (r["cleaned_number"], c), "format_valid": (r["format_valid"], formed), "checksum_valid": (r["checksum_valid"], right), "birth": (r["birth_date"], f"case when {formed} then {_birth(c)} else '' end")})
-    _scalar("mask_id", NUMBERS.replace("else f ||", "when 3 then substr(f, 1, cast(k % 12 as int)) else f ||"), {"value": (s.masked_id(raw), _mask("raw"))})
-    _scalar("page_type", "select p_partkey as k, cast(p_size as double) / 50 as ratio from part", {"page": (g.page_type(F.col("ratio")), "case when ratio > 0 and abs((case when ratio > 1 then 1 / ratio else ratio end) - 1 / sqrt(2.0)) / (1 / sqrt(2.0)) <= 0.15 then 'A4' else 'unknown' end")})
+    _scalar("id_validate", NUMBERS, {"cleaned": (lambda: s.id_result(F.col("raw"))["cleaned_number"], c), "format_valid": (lambda: s.id_result(F.col("raw"))["format_valid"], formed), "checksum_valid": (lambda: s.id_result(F.col("raw"))["checksum_valid"], right), "birth": (lambda: s.id_result(F.col("raw"))["birth_date"], f"case when {formed} then {_birth(c)} else '' end")})
+    _scalar("mask_id", NUMBERS.replace("else f ||", "when 3 then substr(f, 1, cast(k % 12 as int)) else f ||"), {"value": (lambda: s.masked_id(F.col("raw")), _mask("raw"))})
+    _scalar("page_type", "select p_partkey as k, cast(p_size as double) / 50 as ratio from part", {"page": (lambda: g.page_type(F.col("ratio")), "case when ratio > 0 and abs((case when ratio > 1 then 1 / ratio else ratio end) - 1 / sqrt(2.0)) / (1 / sqrt(2.0)) <= 0.15 then 'A4' else 'unknown' end")})
     known = "case p_partkey % 7 when 0 then 'ct_report' when 1 then 'mri_report' when 2 then 'other' else p_type end"
     kinds = ", ".join(f"'{t}'" for t in schema.DOCUMENT_TYPES)
-    _scalar("document_type", f"select p_partkey as k, {known} as raw from part", {"type": (schema.document_type(raw), f"case when raw in ({kinds}) then raw else 'unknown' end")})
+    _scalar("document_type", f"select p_partkey as k, {known} as raw from part", {"type": (lambda: schema.document_type(F.col("raw")), f"case when raw in ({kinds}) then raw else 'unknown' end")})
     codes = " ".join(f"when {k} then '{v}'" for k, v in schema.ERRORS.items())
     code = f"select p_partkey as k, cast(case p_partkey % {len(schema.ERRORS) + 1} {' '.join(f'when {i} then {c}' for i, c in enumerate(schema.ERRORS))} else 7 end as int) as code from part"
-    _scalar("error_text", code, {"text": (schema.error_text(F.col("code")), f"case code {codes} else 'Unrecognized error code' end")})
-    _scalar("utf8_valid", "select doc_id as k, text from documents", {"valid": (s.valid_utf8(F.col("text")), "true")})
+    _scalar("error_text", code, {"text": (lambda: schema.error_text(F.col("code")), f"case code {codes} else 'Unrecognized error code' end")})
+    _scalar("utf8_valid", "select doc_id as k, text from documents", {"valid": (lambda: s.valid_utf8(F.col("text")), "true")})
 
 
 _register_scalars()
