@@ -4,10 +4,10 @@ Suffixes are ordered only through ``LENGTH`` bytes.  Each window of that length
 ``SEED``-byte piece (by hash, then leftmost), which depends on the window's bytes alone; so equal windows meet
 at equal pieces, at equal distances, and only pieces are sorted at first.  A pass takes ranges of window starts
 around a piece and groups them by the bytes that all their windows share (the most significant digits so far).
-Ranges alone in their group hold no repeat and drop out.  Where all ranges of a group also agree on every byte
-that any of their windows touches, all those windows repeat.  The other ranges are cut into narrower ones, whose
-windows share more bytes, for the next pass; in the last pass a range is one window, and equal groups are exactly
-the repeated windows.
+Ranges alone in their group hold no repeat and drop out.  Ranges of a group that also agree on every byte that any
+of their windows touches repeat as a whole, and one of them stands for the rest; ranges that differ there are cut
+into narrower ones, whose windows share more bytes, for the next pass.  In the last pass a range is one window, and
+equal groups are exactly the repeated windows.
 
 Counts come from partial aggregates, and ranges find their counts by a join that Spark can split, so no group of
 equal ranges is gathered in one task.  Windows are compared by 64-bit hashes of what they share and of all they
@@ -29,11 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, slices
+from docfields.llm.base import cut, release, slices
 
 LENGTH, SEED = 200, 32
 #: Window starts in a range, by pass.  The first is all windows that can hold a piece.
-WIDTHS = (LENGTH - SEED + 1, 57, 10, 1)
+WIDTHS = (LENGTH - SEED + 1, 12, 1)
 REACH = LENGTH - SEED
 
 _U = np.uint64
@@ -42,9 +42,12 @@ _STEPS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB8
 
 
 def anchors(text: bytes) -> np.ndarray:
-    """Ascending places of the pieces that represent the windows of ``text``."""
+    """Places of the pieces that represent the windows of ``text``, with the first and last window start of each.
+
+    Starts count from ``REACH`` before the piece.
+    """
     if len(text) < LENGTH:
-        return np.zeros(0, np.int64)
+        return np.zeros((0, 3), np.int64)
     h, m = _BYTES[np.frombuffer(text, np.uint8)], 1
     for step in _STEPS:  # 2, 4, 8, 16, 32 bytes
         h = h[:-m] * _U(step) + h[m:]
@@ -59,23 +62,26 @@ def anchors(text: bytes) -> np.ndarray:
     rest = WIDTHS[0] - m
     least = np.minimum(least[: len(least) - rest], least[rest:])
     at = (least & _U(0xFFFFFFFF)).astype(np.int64)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    last = np.append(first[1:], len(at)) - 1
+    at = at[first]
+    return np.stack([at, first - at + REACH, last - at + REACH], 1)
 
 
 def ranges(text: bytes, at: int, low: int, high: int, step: int) -> Iterator[tuple[int, int, int, int]]:
-    """(key, ext, first, last) of the ranges of pass ``step`` within the range from ``low`` to ``high`` before piece ``at``.
+    """(key, ext, first, last) of the ranges of pass ``step`` within the window starts from ``low`` to ``high``.
 
-    ``key`` stands for the bytes all windows of the range share, ``ext`` for those any window in the text touches;
-    first and last are its window starts as distances before the piece.
+    Starts count from ``REACH`` before piece ``at``.  A range is a cell of a grid of the pass's width, so that it lies
+    alike around equal pieces; ``key`` stands for the bytes that all windows of the cell share, ``ext`` for those that
+    any of its windows from first to last touches.
     """
-    end = -high
-    for lo in range(-low, end + 1, WIDTHS[step]):
-        hi = min(lo + WIDTHS[step] - 1, end)
-        a, b = max(at + lo, 0), min(at + hi, len(text) - LENGTH)
-        if a <= b:
-            key = xxhash.xxh3_64_intdigest(text[at + hi : at + lo + LENGTH], step << 16 | lo + REACH)
-            ext = xxhash.xxh3_64_intdigest(text[a : b + LENGTH], (a - at - lo) << 16 | at + hi - b)
-            yield key - (1 << 63), ext - (1 << 63), -lo, -hi
+    width, zero = WIDTHS[step], at - REACH
+    for cell in range(low // width, high // width + 1):
+        lo, hi = cell * width, min(cell * width + width - 1, REACH)
+        a, b = max(low, lo), min(high, hi)
+        key = xxhash.xxh3_64_intdigest(text[zero + hi : zero + lo + LENGTH], step << 16 | cell)
+        ext = xxhash.xxh3_64_intdigest(text[zero + a : zero + b + LENGTH], (a - lo) << 16 | hi - b)
+        yield key - (1 << 63), ext - (1 << 63), a, b
 
 
 def _texts(full: bool):
@@ -97,7 +103,7 @@ def _texts(full: bool):
 
 
 def _items(step: int):
-    """key, ext, tid, first, last, a, b: the ranges of pass ``step``; a and b bound the bytes its windows touch."""
+    """key, ext, tid, held: the ranges of pass ``step``; ``held`` is a range's piece, first and last in one number."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -106,10 +112,9 @@ def _items(step: int):
             held = batch.column("held").to_pylist() if step else [None] * batch.num_rows
             for tid, blob, own in zip(batch.column("tid").to_pylist(), batch.column("blob").to_pylist(), held, strict=True):
                 text = press.decompress(blob)
-                # A held range is its piece's place and how far before it the range begins and ends, in one number.
-                for at, low, high in ((p, REACH, 0) for p in anchors(text).tolist()) if not step else ((x >> 16, x >> 8 & 255, x & 255) for x in own):
+                for at, low, high in anchors(text).tolist() if not step else map(_place, own):
                     for key, ext, first, last in ranges(text, at, low, high, step):
-                        out.append((key, ext, tid, at << 16 | first << 8 | last, max(at - first, 0), min(at - last + LENGTH, len(text))))
+                        out.append((key, ext, tid, at << 16 | first << 8 | last))
                 if len(out) >= 1 << 16:
                     yield _batch(out)
                     out = []
@@ -119,15 +124,19 @@ def _items(step: int):
     return go
 
 
+def _place(held: int) -> tuple[int, int, int]:
+    return held >> 16, held >> 8 & 255, held & 255
+
+
 def _batch(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "ext", "tid", "held", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["key", "ext", "tid", "held"])
 
 
-_ITEMS = "key long, ext long, tid long, held long, a long, b long"
+_ITEMS = "key long, ext long, tid long, held long"
 
 
 def repeats(texts: DataFrame) -> DataFrame:
-    """tid, a, b: stretches (bytes, end exclusive) of the texts (tid, blob) in which every window starts anywhere else too."""
+    """tid, held: ranges of the texts (tid, blob) in which every window starts anywhere else too."""
     found, held = None, texts
     for step in range(len(WIDTHS)):
         items = held.mapInArrow(_items(step), _ITEMS)
@@ -135,16 +144,26 @@ def repeats(texts: DataFrame) -> DataFrame:
             items = cut(items)
         by = ["key"] if step + 1 < len(WIDTHS) else ["key", "ext"]
         groups = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("ext").alias("least"), F.max("ext").alias("most")).where("n > 1")
-        # Under another name the key is dealt anew, so that the join can split a common one.
-        groups = cut(groups.select(F.col("key").bitwiseXOR(F.lit(1)).alias("other"), "least", "most"))
-        same = F.col("key").bitwiseXOR(F.lit(1)) == F.col("other")
+        # Under other names the keys are dealt anew, so that the joins can split a common one.
+        other = F.col("key").bitwiseXOR(F.lit(1))
+        groups = cut(groups.select(other.alias("other"), "least", (F.col("least") == F.col("most")).alias("alike")))
+        same = other == F.col("other")
         if len(by) > 1:
             same &= F.col("ext") == F.col("least")
-        kept = cut(items.join(groups, same).select("tid", "held", "a", "b", (F.col("least") == F.col("most")).alias("alike")))
-        part = kept.where("alike").select("tid", "a", "b")
+        kept = cut(items.join(groups, same).select("key", "ext", "tid", "held", "alike"))
+        release(texts.sparkSession)
+        part = kept.where("alike").select("tid", "held")
         found = part if found is None else found.unionByName(part)
-        again = kept.where("not alike").groupBy("tid").agg(F.collect_list("held").alias("held"))
-        held = texts.join(again, "tid").select("tid", "blob", "held")
+        if step + 1 == len(WIDTHS):
+            break
+        # In a group that is not alike, ranges that touch the same bytes repeat; one of them stands for them from here on.
+        mixed, name = kept.where("not alike"), F.xxhash64("tid", "held")
+        classes = mixed.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("first"))
+        classes = classes.select(other.alias("other"), F.col("ext").alias("touched"), "n", "first")
+        decided = mixed.join(classes, (other == F.col("other")) & (F.col("ext") == F.col("touched")))
+        decided = cut(decided.select("tid", "held", (F.col("n") > 1).alias("done"), (name == F.col("first")).alias("stays")))
+        found = found.unionByName(decided.where("done").select("tid", "held"))
+        held = texts.join(decided.where("stays").groupBy("tid").agg(F.collect_list("held").alias("held")), "tid").select("tid", "blob", "held")
     return found
 
 
@@ -158,8 +177,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cuts = [(0, len(text))]
             else:
                 cuts = []
-                for x in sorted(spans or ()):
-                    a, b = x >> 32, x & 0xFFFFFFFF
+                for a, b in sorted((at - REACH + first, at - REACH + last + LENGTH) for at, first, last in map(_place, spans or ())):
                     if cuts and a <= cuts[-1][1]:
                         cuts[-1] = (cuts[-1][0], max(b, cuts[-1][1]))
                     else:
@@ -181,7 +199,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     full = rows.mapInArrow(_texts(True), "doc_id long, tid long, n_bytes long, blob binary")
     texts = cut(full.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.first("blob", ignorenulls=True).alias("blob")))
-    spans = repeats(texts.select("tid", "blob")).groupBy("tid").agg(F.collect_set(F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("spans"))
+    spans = repeats(texts.select("tid", "blob")).groupBy("tid").agg(F.collect_list("held").alias("spans"))
     done = texts.join(spans, "tid", "left").select("tid", "blob", "copies", "spans")
     done = done.mapInArrow(_removed, "tid long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
     light = rows.mapInArrow(_texts(False), "doc_id long, tid long, n_bytes long")
