@@ -2,8 +2,8 @@
 
 A document's tokens are the hashes of its word 5-grams.  Documents with equal token sets are one set.
 
-1. Sets are put into groups of similar sets: those that share a min-hash are compared with one of them, and
-   linked sets form a group.
+1. Sets are put into groups of similar sets: those that share a min-hash are compared in blocks, and linked
+   sets form a group.
 2. The token-group matrix holds (token, group) for the rarest tokens of every set, as many as two similar sets
    cannot both do without.  Two groups that share none of them hold no link.
 3. Of two groups that share one, the larger is opened in blocks.  A block stores the union of its members'
@@ -29,12 +29,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, partitions, slices
+from docfields.llm.base import cut, partitions, release, slices
 from docfields.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-#: Min-hashes of a set, and members of a block of an opened group.
-HASHES, BLOCK = 6, 256
+#: Min-hashes of a set in each round of grouping, and members of a block of an opened group.
+HASHES, ROUNDS, BLOCK = 5, 1, 256
 #: Counters of the sketch, and parts in which it is summed.
 COUNTERS, PARTS = 1 << 20, 64
 #: Matrix entries that a task gathers before it sends them.
@@ -43,7 +43,9 @@ GATHER = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 _PLACES = np.random.default_rng(3).integers(1, 1 << 63, WORDS, dtype=np.uint64) * _U(2) + _U(1)
-_SEEDS = np.random.default_rng(4).integers(1, 1 << 63, HASHES, dtype=np.uint64)
+_SEEDS = np.random.default_rng(4).integers(1, 1 << 62, HASHES * ROUNDS, dtype=np.uint64) * _U(2) + _U(1)
+#: Tokens up to which the min-hashes of a set are worked out together.
+WIDE = 4096
 
 
 class _Hashes(dict):
@@ -128,13 +130,27 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
             yield batch, i, tokens(press.decompress(blob))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Min-hashes of each set (place, bucket, sid), and then the task's counts of tokens (place from -1 down, counts)."""
     counts = np.zeros(COUNTERS, np.uint32)
-    for _, _, t in _read(batches):
-        np.add.at(counts, (t >> _U(44)).astype(np.int64), 1)
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
+    def out(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["place", "bucket", "sid", "counts"])
+
+    for batch in batches:
+        places, buckets, sids = [], [], []
+        for b, i, t in _read(iter([batch])):
+            np.add.at(counts, (t >> _U(44)).astype(np.int64), 1)
+            sid = b.column("sid")[i].as_py()
+            # Tokens are hashes already, so products with odd numbers are enough to order them anew.
+            places += range(len(_SEEDS))
+            sids += [sid] * len(_SEEDS)
+            buckets += (np.multiply.outer(t, _SEEDS).min(0) if len(t) <= WIDE else np.array([(t * x).min() for x in _SEEDS])).astype(np.int64).tolist()
+        yield out(places, buckets, sids, [None] * len(sids))
     press = zstandard.ZstdCompressor(1)
     parts = [press.compress(p.tobytes()) for p in np.split(np.minimum(counts, 65535).astype(np.uint16), PARTS)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+    yield out([-1 - i for i in range(PARTS)], [None] * PARTS, [None] * PARTS, parts)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,26 +163,16 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def sketch(sets: DataFrame) -> np.ndarray:
+def sketch(survey: DataFrame) -> np.ndarray:
     """About how many sets hold each token, by the token's first bits: ``COUNTERS`` numbers, whatever the input."""
-    rows = sets.select("blob").mapInArrow(_count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()
+    parts = survey.where("place < 0").select((-1 - F.col("place")).alias("part"), "counts")
+    rows = parts.repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()
     out = np.zeros(COUNTERS, np.uint32)
     for r in rows:
         out[r["part"] * (COUNTERS // PARTS) :][: COUNTERS // PARTS] = np.frombuffer(r["counts"], np.uint32)
     return out
 
 
-def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sids, keys = [], []
-        for b, i, t in _read(iter([batch])):
-            sid = b.column("sid")[i].as_py()
-            for k, seed in enumerate(_SEEDS):
-                sids.append(sid)
-                keys.append((int(_mix(t ^ seed).min()) >> 4 << 3 | k) - (1 << 62))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64())], ["bucket", "sid"])
-
-
 def opened(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """a, b: a link for each query set with each group block in which it has any.
 
@@ -182,7 +188,8 @@ def opened(sets: DataFrame, wanted: DataFrame) -> DataFrame:
             if at != now:
                 now, members, union = at, [], None
             if not batch.column("query")[i].as_py():
-                members.append((sid, t))
+                if not members or members[-1][0] != sid:
+                    members.append((sid, t))
                 continue
             if union is None:
                 union = np.unique(np.concatenate([m for _, m in members])) if members else np.zeros(0, np.uint64)
@@ -202,17 +209,87 @@ def opened(sets: DataFrame, wanted: DataFrame) -> DataFrame:
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return rows.sortWithinPartitions("grp", "block", "query").select("grp", "block", "query", "sid", "blob").mapInArrow(go, "a long, b long")
+    return rows.sortWithinPartitions("grp", "block", "query", "sid").select("grp", "block", "query", "sid", "blob").mapInArrow(go, "a long, b long")
+
+
+def _linked_within(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """a, b: links that join all members of a block (grp, block, sid, comp) that any chain of its links joins.
 
+    Members of one component are not compared, so a block of near copies takes about one comparison a member.
+    """
+    rows = wanted.join(sets.select("sid", "blob"), "sid").repartition(partitions(sets.sparkSession), "grp", "block")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, top, links = None, [], {}, []
 
-def _grouped(sets: DataFrame) -> DataFrame:
-    """Links of sets with the least set of their min-hash buckets; a bucket is dealt in blocks, each with that set."""
-    hashes = cut(sets.select("sid", "blob").mapInArrow(_min_hashes, "bucket long, sid long"))
-    hubs = hashes.groupBy("bucket").agg(F.min("sid").alias("grp"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = hashes.join(hubs, "bucket").where("sid <> grp").groupBy("grp", "sid").agg(F.max("size").alias("size"))
-    pairs = cut(pairs.select("grp", "sid", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / (4 * BLOCK))).alias("block")))
-    hub = pairs.select("grp", "block").distinct().select("grp", "block", F.lit(False).alias("query"), F.col("grp").alias("sid"))
-    return opened(sets, hub.unionByName(pairs.select("grp", "block", F.lit(True).alias("query"), "sid")))
+        def find(c: int) -> int:
+            while top.setdefault(c, c) != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        for batch, i, t in _read(batches):
+            at = (batch.column("grp")[i].as_py(), batch.column("block")[i].as_py())
+            sid, comp = batch.column("sid")[i].as_py(), batch.column("comp")[i].as_py()
+            if at != now:
+                now, members, top = at, [], {}
+            if members and members[-1][0] == sid:
+                continue
+            for other, theirs, m in members:
+                if find(theirs) != find(comp) and linked(t, m):
+                    top[find(theirs)] = find(comp)
+                    links.append((sid, other))
+            members.append((sid, comp, t))
+            if len(links) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+                links = []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    return rows.sortWithinPartitions("grp", "block", "sid").select("grp", "block", "sid", "comp", "blob").mapInArrow(go, "a long, b long")
+
+
+def _groups(sets: DataFrame, survey: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links, and the components (node, comp) that they make, that put similar sets into groups, in ``ROUNDS`` rounds of different min-hashes.
+
+    Sets that share a min-hash are gathered under the least of them and compared in blocks of ``BLOCK`` at most, each
+    with that least one.  A later round takes a few members of each group so far, so that groups meet and sets that
+    stood alone meet groups.
+    """
+    links, known = None, None
+    for r in range(ROUNDS):
+        own = survey.where(F.col("place").between(r * HASHES, r * HASHES + HASHES - 1)).select("place", "bucket", "sid").distinct()
+        if known is None:
+            own = own.withColumn("comp", F.col("sid"))
+        else:
+            nth = F.row_number().over(Window.partitionBy("comp", "part").orderBy(F.xxhash64("node", F.lit(r))))
+            # Parts keep a large group from one task; each part lends a few members.
+            lent = known.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("nth", nth)
+            own = own.join(lent, F.col("sid") == F.col("node"), "left").where("nth is null or nth <= 2").select("place", "bucket", "sid", F.coalesce("comp", "sid").alias("comp"))
+        hubs = own.groupBy("place", "bucket").agg(F.min(F.struct("sid", "comp")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = own.join(hubs, ["place", "bucket"]).where("sid <> hub.sid").groupBy(F.col("hub.sid").alias("grp"), F.col("hub.comp").alias("of"), "sid", "comp")
+        met = cut(met.agg(F.max("size").alias("size")))
+        met = met.withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK)))
+        hub = met.select("grp", "block", F.col("grp").alias("sid"), F.col("of").alias("comp")).distinct()
+        new = cut(_linked_within(sets, hub.unionByName(met.select("grp", "block", "sid", "comp"))))
+        links = new if links is None else links.unionByName(new)
+        known = cut(components(links))
+        release(sets.sparkSession)
+    return links, known
+
+
+def early(n: int) -> int:
+    """How many of its first tokens can be the first that a set of ``n`` shares with one it links with and that is no smaller."""
+    return n - -(-n * 2 * PERCENT // (100 + PERCENT)) + 1
+
+
+def _firsts(t: np.ndarray, g: np.ndarray, late: np.ndarray, *rest: np.ndarray) -> list[np.ndarray]:
+    """One entry for each token and group, early if any of them is."""
+    o = np.lexsort((late, g, t))
+    t, g = t[o], g[o]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+    return [t[new], g[new], *(x[o][new] for x in (late, *rest))]
 
 
 def _matrix(sets: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
@@ -224,37 +301,34 @@ def _matrix(sets: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, press = sent.value, zstandard.ZstdCompressor(1)
-        parts: list[tuple[np.ndarray, int, int]] = []
+        parts: list[tuple[np.ndarray, int, int, int]] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            groups, of = np.unique(np.array([g for _, g, _ in parts], np.int64), return_inverse=True)
+            groups, of = np.unique(np.array([x[1] for x in parts], np.int64), return_inverse=True)
             size = np.zeros(len(groups), np.int32)
-            size[of] = [n for _, _, n in parts]
-            t, g = np.concatenate([x for x, _, _ in parts]), np.repeat(of, [len(x) for x, _, _ in parts])
-            o = np.lexsort((g, t))
-            t, g = t[o], g[o]
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-            t, g = t[new], g[new]
+            size[of] = [x[2] for x in parts]
+            t, g = np.concatenate([x[0] for x in parts]), np.repeat(of, [len(x[0]) for x in parts])
+            late = np.concatenate([np.arange(len(x[0])) >= x[3] for x in parts])
+            t, g, late = _firsts(t, g, late)
             where = ((t >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
             ends = np.searchsorted(where, np.arange(ranges), "right")
-            rows = {"range": [], "tokens": [], "groups": [], "of": [], "size": []}
+            rows = {"range": [], "tokens": [], "of": [], "groups": [], "size": []}
             for r, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
                 if b > a:
                     names, local = np.unique(g[a:b], return_inverse=True)
                     rows["range"].append(r)
                     rows["tokens"].append(press.compress(t[a:b].view(np.uint8).reshape(-1, 8).T.tobytes()))
-                    rows["of"].append(press.compress(local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+                    rows["of"].append(press.compress((local << 1 | late[a:b]).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
                     rows["groups"].append(groups[names].tobytes())
                     rows["size"].append(size[names].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(rows["range"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("tokens", "of", "groups", "size"))], list(rows)[:2] + ["of", "groups", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(rows["range"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], list(rows))
 
         for batch, i, t in _read(batches):
             p = len(t) - needed(len(t)) + 1
-            rare = t[np.lexsort((t, order[(t >> _U(44)).astype(np.int64)]))[:p]]
+            rare = t[np.argsort(order[(t >> _U(44)).astype(np.int64)], kind="stable")[:p]]  # tokens ascend, so equal counts stay in their order
             # A size of 0 stands for a group of several sets.
-            parts.append((rare, batch.column("grp")[i].as_py(), len(t) if batch.column("alone")[i].as_py() else 0))
+            parts.append((rare, batch.column("grp")[i].as_py(), len(t) if batch.column("alone")[i].as_py() else 0, early(len(t))))
             held += p
             if held >= GATHER:
                 yield out()
@@ -268,27 +342,24 @@ def _matrix(sets: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
             for t, of, groups, size in zip(*(batch.column(c).to_pylist() for c in ("tokens", "of", "groups", "size")), strict=True):
                 t = np.ascontiguousarray(np.frombuffer(press.decompress(t), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
                 of = np.ascontiguousarray(np.frombuffer(press.decompress(of), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                held.append((t, np.frombuffer(groups, np.int64)[of], np.frombuffer(size, np.int32)[of]))
+                held.append((t, np.frombuffer(groups, np.int64)[of >> 1], (of & 1).astype(bool), np.frombuffer(size, np.int32)[of >> 1]))
         if not held:
             return
-        t, g, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        o = np.lexsort((g, t))
-        t, g, n = t[o], g[o], n[o]
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-        t, g, n = t[new], g[new], n[new]
+        t, g, late, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        t, g, late, n = _firsts(t, g, late, n)
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         counts = np.diff(starts, append=len(t))
         found: set[tuple[int, int]] = set()
         for a, k in zip(starts[counts > 1], counts[counts > 1], strict=True):
-            names, sizes = g[a : a + k].tolist(), n[a : a + k].tolist()
-            # By size, so that each set meets only those that are not too large for it.
-            row = sorted(zip(sizes, names, strict=True))
-            for x, (s, one) in enumerate(row):
-                for m, two in row[x + 1 :]:
+            # By size, so that each set meets only those that are not too large for it.  The first token that two linked
+            # sets share is an early one of the smaller, and of both if they are of one size.
+            row = sorted(zip(n[a : a + k].tolist(), g[a : a + k].tolist(), late[a : a + k].tolist(), strict=True))
+            for x, (s, one, slow) in enumerate(row):
+                for m, two, slow2 in row[x + 1 :]:
                     if s and s * 100 < PERCENT * m:
                         break
-                    found.add((min(one, two), max(one, two)))
+                    if not (slow and (slow2 or s) or s == m and s and slow2):
+                        found.add((min(one, two), max(one, two)))
             if len(found) > GATHER:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["p", "q"])
                 found = set()
@@ -304,15 +375,17 @@ def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     k1, k2 = _keys(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    rows = rows.mapInArrow(_sets, "doc_id long, n long, sid long, blob binary, k1 long, k2 long")
-    sets = cut(rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("blob", ignorenulls=True).alias("blob")))
-    first = cut(_grouped(sets))
-    known = cut(components(first))
+    rows = cut(rows.mapInArrow(_sets, "doc_id long, n long, sid long, blob binary, k1 long, k2 long"))
+    # Equal sets of several tasks come several times; every step below takes them as one.
+    sets = rows.where("blob is not null").select("sid", "n", "blob")
+    survey = cut(sets.select("sid", "blob").mapInArrow(_survey, "place int, bucket long, sid long, counts binary"))
+    first, known = _groups(sets, survey)
     size = known.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("comp", "of")
-    grouped = sets.select("sid", "n").join(known, F.col("sid") == F.col("node"), "left").join(size, F.col("comp") == F.col("of"), "left")
+    grouped = sets.select("sid").distinct().join(known, F.col("sid") == F.col("node"), "left").join(size, F.col("comp") == F.col("of"), "left")
     grouped = cut(grouped.select("sid", F.coalesce("comp", "sid").alias("grp"), F.coalesce("members", F.lit(1)).alias("members")))
     named = sets.join(grouped.select("sid", "grp", (F.col("members") == 1).alias("alone")), "sid")
-    near = cut(_matrix(named, sketch(sets), partitions(spark)))
+    near = cut(_matrix(named, sketch(survey), partitions(spark)))
+    release(spark)
     counts = grouped.select("grp", "members").distinct()
     near = near.join(counts.toDF("p", "mp"), "p").join(counts.toDF("q", "mq"), "q")
     larger = F.col("mp") >= F.col("mq")
@@ -322,8 +395,9 @@ def _joined(docs: DataFrame) -> DataFrame:
     blocks = inside.select("grp", "block").distinct()
     asking = near.join(grouped.select("sid", F.col("grp").alias("other")), "other").join(blocks, "grp").select("grp", "block", F.lit(True).alias("query"), "sid")
     second = cut(opened(sets, inside.unionByName(asking)))
+    release(spark)
     final = components(first.unionByName(second))
-    light = cut(rows.select("doc_id", "n", "sid", "k1", "k2"))
+    light = rows.select("doc_id", "n", "sid", "k1", "k2")
     return light.join(final, F.col("sid") == F.col("node"), "left").select("doc_id", "n", "k1", "k2", F.coalesce("comp", "sid").alias("comp"))
 
 
