@@ -1,8 +1,11 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces with log scores.
 
-The vocabulary comes from a model file (its path is a parameter; nothing is trained).  The best path never
-crosses a white-space marker that follows another character, nor a character that occurs in no piece, where
+The pieces come from a model file (its path is a parameter).  The scores of a unigram model are those of the
+file; any other model holds no log scores (those of a BPE model are merge ranks), so ``fit`` makes them: EM over
+the distinct parts of all texts that are encoded, from the occurrences of each piece.  Counts are summed as whole
+numbers, so the scores do not depend on how rows are dealt.  The best path never crosses a white-space marker that follows another character, nor a character that occurs in no piece, where
 no piece does; texts are cut there, and the paths of the parts are remembered, with a bound on how many.
+For EM many parts are worked at once, as edges between places in arrays.
 Characters without a piece fall back to the pieces of their bytes.  Null texts count as empty; an empty text
 has no ids; a text that holds the marker character itself decodes to a blank in its place.
 """
@@ -10,21 +13,32 @@ has no ids; a text that holds the marker character itself decodes to a blank in
 from __future__ import annotations
 
 import codecs
+import copy
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from docfields.llm.base import slices
+from docfields.llm.base import cut, slices
 
 MARK = "▁"
 #: How far below the least score a character without a piece stands.
 PENALTY = 10.0
 REMEMBER = 400_000
+#: Rounds of EM after the first scores.
+ROUNDS = 2
+#: Least expected count of a piece, so that each keeps a finite score.
+FLOOR = 0.5
+#: Expected counts are summed in these parts of one.
+PARTS = 1 << 16
+#: Bytes of parts that are worked at once, and distinct parts that are counted before they are handed on.
+AT_ONCE, COUNTED = 1 << 18, 200_000
 
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -87,20 +101,106 @@ class DoubleArray:
                 yield i + 1, value[node]
 
 
+class Lattice:
+    """Edges of all pieces in several texts: from place ``start`` to ``end`` by piece ``piece`` (-1: a character without one).
+
+    Text ``k`` has the places ``first[k]`` to ``last[k]``.  Edges are ordered by how far their ends lie in their
+    text, then by end, then by start; ``steps`` are the bounds of equally far ends.
+    """
+
+    def __init__(self, texts: list[bytes], base: np.ndarray, check: np.ndarray, value: np.ndarray):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.last = self.first + sizes
+        self.places = int(self.last[-1]) + 1
+        codes = np.full(self.places + 1, -1, np.int64)  # -1 after every text
+        far = np.arange(self.places, dtype=np.int64) - np.repeat(self.first, sizes + 1)
+        inside = np.ones(self.places, bool)
+        inside[self.last] = False
+        codes[:-1][inside] = np.frombuffer(b"".join(texts), np.uint8)
+        starts = np.flatnonzero((codes >= 0) & ((codes & 0xC0) != 0x80))
+        width = np.array([1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4 for c in range(256)])[codes[starts]]
+        single = np.zeros(len(starts), bool)
+        found, which, at, node = [], np.arange(len(starts)), starts, np.zeros(len(starts), np.int64)
+        while len(which):
+            c = codes[at]
+            to = base[node] + c + 1
+            ok = (c >= 0) & (to < len(check))
+            ok[ok] = check[to[ok]] == node[ok]
+            which, at, node = which[ok], at[ok] + 1, to[ok]
+            v = value[node]
+            hit = v >= 0
+            found.append((which[hit], at[hit], v[hit]))
+            single[which[hit & (at == starts[which] + width[which])]] = True
+        alone = np.flatnonzero(~single)
+        found.append((alone, starts[alone] + width[alone], np.full(len(alone), -1)))
+        start = starts[np.concatenate([x[0] for x in found])]
+        end, piece = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        long = end - start
+        order = np.argsort((far[end] * self.places + end) * (int(long.max(initial=0)) + 1) - long)
+        self.start, self.end, self.piece, self.far = start[order], end[order], piece[order], far
+        self.steps = np.concatenate([[0], np.flatnonzero(np.diff(far[self.end])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+
+    def shares(self, weight: np.ndarray, logs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each edge over all paths of its text, and whether each text's total is a usable number.
+
+        ``weight`` is a logarithm, added where ``logs`` and multiplied as its power where not.
+        """
+        if logs:
+            forward, backward = np.full(self.places, -np.inf), np.full(self.places, -np.inf)
+            forward[self.first], backward[self.last], times, plus = 0.0, 0.0, np.add, np.logaddexp
+        else:
+            forward, backward = np.zeros(self.places), np.zeros(self.places)
+            forward[self.first], backward[self.last], times, plus = 1.0, 1.0, np.multiply, np.add
+            weight = np.exp(weight)
+        for a, b in zip(self.steps[:-1], self.steps[1:], strict=True):
+            plus.at(forward, self.end[a:b], times(forward[self.start[a:b]], weight[a:b]))
+        order = np.argsort(-self.far[self.start], kind="stable")
+        start, end, w = self.start[order], self.end[order], weight[order]
+        steps = np.concatenate([[0], np.flatnonzero(np.diff(self.far[start])) + 1, [len(order)]])
+        for a, b in zip(steps[:-1], steps[1:], strict=True):
+            plus.at(backward, start[a:b], times(backward[end[a:b]], w[a:b]))
+        total = forward[self.last]
+        usable = np.isfinite(total) if logs else (total > 1e-200) & (total < 1e200)
+        whole = np.repeat(total, self.last - self.first + 1)[self.end]
+        with np.errstate(all="ignore"):
+            path = times(times(forward[self.start], weight), backward[self.end])
+            return (np.exp(path - whole) if logs else path / whole), usable
+
+
+def expected(texts: list[bytes], times: np.ndarray, trie: tuple[np.ndarray, np.ndarray, np.ndarray], cost: np.ndarray | None, unknown: float) -> np.ndarray:
+    """Expected count of each piece over all paths of the texts, in ``PARTS``; without ``cost``, how often each piece occurs."""
+    out = np.zeros(int(trie[2].max()) + 1, np.int64)
+    here, logs = np.arange(len(texts)), False
+    while len(here):
+        lattice = Lattice([texts[k] for k in here], *trie)
+        n = np.repeat(times[here], lattice.last - lattice.first + 1)[lattice.end]
+        real = lattice.piece >= 0
+        if cost is None:
+            np.add.at(out, lattice.piece[real], n[real] * PARTS)
+            break
+        weight = np.where(real, cost[lattice.piece], unknown)
+        # A factor for each byte is the same on every path; it keeps the products near one.
+        shares, usable = lattice.shares(weight if logs else weight + 2.5 * (lattice.end - lattice.start), logs)
+        real &= np.repeat(usable, lattice.last - lattice.first + 1)[lattice.end]
+        np.add.at(out, lattice.piece[real], np.rint(shares[real] * PARTS).astype(np.int64) * n[real])
+        here, logs = (here[:0], True) if logs else (here[~usable], True)
+    return out
+
+
 @dataclass
 class Vocabulary:
     pieces: list[str]
     scores: list[float]
     kinds: list[str]  # normal, unknown, control, byte, unused, user
     dummy_prefix: bool = True
+    unigram: bool = True  # whether the scores are log scores
     trie: DoubleArray = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         usable = [i for i, k in enumerate(self.kinds) if k in ("normal", "user")]
         self.trie = DoubleArray({self.pieces[i].encode(): i for i in usable})
-        normal = [self.scores[i] for i in usable if self.kinds[i] == "normal"] or [0.0]
-        self.least, self.most = min(normal), max(normal)
-        self.cost = [len(p.encode()) * self.most - 0.1 if k == "user" else s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
+        self._weigh()
         self.byte_ids = [0] * 256
         for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)):
             if k == "byte":
@@ -124,6 +224,28 @@ class Vocabulary:
             self.out[self.unknown] = " ⁇ ".encode()
         self.seen: dict[str, tuple[int, ...]] = {}
 
+    def _weigh(self) -> None:
+        normal = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == "normal"] or [0.0]
+        self.least, self.most = min(normal), max(normal)
+        self.cost = [len(p.encode()) * self.most - 0.1 if k == "user" else s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
+
+    def rescored(self, scores: list[float]) -> Vocabulary:
+        """The same pieces with other log scores."""
+        other = copy.copy(self)
+        other.scores, other.unigram, other.seen = scores, True, {}
+        other._weigh()
+        return other
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.array(x, np.int64) for x in (self.trie.base, self.trie.check, self.trie.value))
+
+    def parts(self, text: str) -> list[str]:
+        """The marked text, cut where no path crosses."""
+        if not text:
+            return []
+        marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
+        return [marked] if self.units is None else self.units.findall(marked)
+
     def viterbi(self, unit: str) -> tuple[int, ...]:
         """Ids of the best path; where two paths to a place are equal, the one whose last piece is longest."""
         text = unit.encode()
@@ -171,14 +293,9 @@ class Vocabulary:
         return any(end == j for end, _ in self.trie.prefixes(text[:j], i))
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        if self.units is None:
-            return list(self.viterbi(marked))
         ids: list[int] = []
         seen = self.seen
-        for unit in self.units.findall(marked):
+        for unit in self.parts(text):
             found = seen.get(unit)
             if found is None:
                 found = self.viterbi(unit)
@@ -228,23 +345,74 @@ def load(path: str) -> Vocabulary:
     with open(path, "rb") as f:
         data = f.read()
     kinds = {1: "normal", 2: "unknown", 3: "control", 4: "user", 5: "unused", 6: "byte"}
-    rows, dummy = [], True
+    rows, dummy, unigram = [], True, True
     for number, value in _fields(data):
         if number == 1:
             x = dict(_fields(value))
             rows.append((x[1].decode(), float(np.frombuffer(x[2], "<f4")[0]) if 2 in x else 0.0, kinds[x.get(3, 1)]))
+        elif number == 2:
+            unigram = dict(_fields(value)).get(3, 1) == 1
         elif number == 3:
             dummy = bool(dict(_fields(value)).get(3, 1))
-    return Vocabulary(*(list(c) for c in zip(*rows, strict=True)), dummy)
+    return Vocabulary(*(list(c) for c in zip(*rows, strict=True)), dummy, unigram)
+
+
+def fit(docs: DataFrame, data: Vocabulary, rounds: int = ROUNDS) -> Vocabulary:
+    """``data`` with log scores of its normal pieces by EM over all texts of ``docs``; one number a piece comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["part", "n"])
+
+        for _, texts in slices(batches, "text", 1 << 20):
+            for raw in texts:
+                seen.update(data.parts(raw.decode("utf-8", "replace")))
+            if len(seen) >= COUNTED:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    parts = cut(docs.select("text").mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
+    trie, normal = data.arrays(), np.array([k == "normal" for k in data.kinds])
+    chars = np.array([len(p) for p in data.pieces])
+
+    def scored(cost: np.ndarray | None, unknown: float) -> list[float]:
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(int(trie[2].max()) + 1, np.int64)
+            for batch, texts in slices(batches, "part", AT_ONCE):
+                sums += expected(texts, batch.column("n").to_numpy(), trie, cost, unknown)
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], ["piece", "n"])
+
+        counts = np.zeros(len(data.pieces))
+        for r in parts.mapInArrow(go, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            counts[r["piece"]] = r["n"] / PARTS
+        if cost is None:
+            counts *= chars
+        counts = np.where(normal, np.maximum(counts, FLOOR), 0.0)
+        with np.errstate(divide="ignore"):
+            return np.where(normal, np.log(counts) - np.log(max(counts.sum(), FLOOR)), 0.0).tolist()
+
+    fitted = data.rescored(scored(None, 0.0))
+    for _ in range(rounds):
+        fitted = data.rescored(scored(np.array(fitted.cost), fitted.least - PENALTY))
+    return fitted
 
 
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
-    """doc_id, n_ids, n_byte_ids, ids, round_trip, decoded_sha256: one row for each row of ``docs``."""
+    """doc_id, n_ids, n_byte_ids, ids, round_trip, decoded_sha256: one row for each row of ``docs``.
+
+    The scores of a model other than unigram are fitted to ``docs`` at once.
+    """
     data = load(model)  # a vocabulary is bounded, so it goes out with the task
-    parts = (data.pieces, data.scores, data.kinds, data.dummy_prefix)
+    if not data.unigram:
+        data = fit(docs, data)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(*parts)
+        vocabulary = data
         byte = np.array([k == "byte" for k in vocabulary.kinds])
         for batch, texts in slices(batches, "text", 4 << 20):
             counts, bytes_, all_ids, trips, shas = [], [], [], [], []

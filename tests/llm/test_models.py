@@ -71,6 +71,47 @@ def test_encoded_documents(documents):
     assert unigram.encode(documents(["a"]).where("false")).count() == 0
 
 
+def test_scores_of_ranks_are_fitted(documents):
+    """EM against sums over all segmentations; a model of merge ranks is never used as if its ranks were log scores."""
+    ranked = unigram.load("piece_bpe_32k.model")
+    assert not ranked.unigram
+    texts = ["The government of the international community", "the government", "international  law\n", "", None, "é\x00日"] * 3
+    fitted = unigram.fit(documents(texts), ranked)
+    assert fitted.unigram and fitted.pieces == ranked.pieces and abs(sum(np.exp(s) for s, k in zip(fitted.scores, fitted.kinds, strict=True) if k == "normal") - 1) < 1e-6
+    rows = {r["doc_id"]: r for r in unigram.encode(documents(texts)).collect()}
+    assert [ranked.pieces[i] for i in rows[0]["ids"]] == ["▁The", "▁government", "▁of", "▁the", "▁international", "▁community"]
+    assert all(rows[i]["ids"] == fitted.encode(t or "") and rows[i]["round_trip"] for i, t in enumerate(texts))
+
+
+def test_expected_counts_against_all_segmentations():
+    pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "aba", "ba", "é"]
+    v = unigram.Vocabulary(pieces, [0, -3.0, -2.0, -2.5, -3.2, -4.0, -4.1, -3.9, -6.0], ["unknown", *["normal"] * 8])
+    texts = ["▁" + "".join(x) for n in range(1, 5) for x in itertools.product("abéx", repeat=n)] + ["▁" + "abx" * 400]
+    unknown = v.least - unigram.PENALTY
+
+    def paths(t):
+        if not t:
+            yield 0.0, []
+        for i, p in enumerate(pieces):
+            if v.kinds[i] == "normal" and t.startswith(p):
+                yield from ((s + v.cost[i], [i, *x]) for s, x in paths(t[len(p) :]))
+        if t and t[0] not in pieces:
+            yield from ((s + unknown, x) for s, x in paths(t[1:]))
+
+    want = np.zeros(len(pieces))
+    for t in texts[:-1]:
+        found = list(paths(t))
+        whole = sum(np.exp(s) for s, _ in found)
+        for s, x in found:
+            np.add.at(want, x, 2 * np.exp(s) / whole)
+    times = np.full(len(texts) - 1, 2)
+    got = unigram.expected([t.encode() for t in texts[:-1]], times, v.arrays(), np.array(v.cost), unknown) / unigram.PARTS
+    assert np.abs(got - want).max() < 0.05
+    # A text too long for plain products is summed in logarithms.
+    long = unigram.expected([texts[-1].encode()], np.array([1]), v.arrays(), np.array(v.cost), unknown) / unigram.PARTS
+    assert abs(long @ [len(p) for p in pieces] - 801) < 0.1
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3)
 
