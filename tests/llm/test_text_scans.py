@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from docfields.llm import licenses, pii, secret_scan
 
@@ -80,6 +82,20 @@ def test_markov_models(documents, spark):
     assert secret_scan.scan(documents(texts).where("false"), model).count() == 0
 
 
+def test_markov_judges_letters_and_short_runs(documents, spark):
+    """Random letters without digits and runs of 16 characters are found; the bound of 16 is the only one."""
+    model = secret_scan.train(secret_scan.samples(spark))
+    rng = random.Random(3)
+    letters, mixed = string.ascii_letters, string.ascii_letters + string.digits
+    made = [("".join(rng.choice(of) for _ in range(n)), n) for of in (letters, mixed) for n in (15, 16, 17, 20, 32) for _ in range(40)]
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(documents([f"a {t} z" for t, _ in made]), model).collect()}
+    caught = [rows[i].count("markov") for i in range(len(made))]
+    assert sum(c for c, (_, n) in zip(caught, made, strict=True) if n >= 16) >= 0.97 * sum(n >= 16 for _, n in made)
+    assert not any(c for c, (_, n) in zip(caught, made, strict=True) if n < 16)
+    plain = ["requestHandlerFactory", "connection_pool_manager", "transaction-log-writer", "12345678901234567890", "internationalization"]
+    assert all(not r["n_markov"] for r in secret_scan.scan(documents(plain), model).collect())
+
+
 def test_licenses(spark):
     files = [
         ("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/x.py", None), ("a/b/y.py", ""), ("a/b/LICENSE.txt", "intro\nReleased under the MIT License.\n"),
