@@ -1,13 +1,14 @@
 """License scans: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory.
 
-Every line of every text is a candidate header.  Terms are runs of ASCII letters and digits in lower case; a
+Every line of a text, the whole text, and every window of as many terms as a template has are compared; windows go
+over line breaks, begin with a term of the template and end with the text at the latest.  Terms are runs of ASCII letters and digits in lower case; a
 term's weight is its count times log(1 + documents / (1 + documents that hold it)), with counts over the whole
-corpus for the terms of the templates; any other term weighs as much as one that a single document holds.  A file's own license is that of the best line
-(by cosine, then by template order) that reaches ``THRESHOLD``.  A file without one takes the license of the
+corpus for the terms of the templates; any other term weighs as much as one that a single document holds.  A file's own license is that of the best of these
+(by cosine, then lines before the text before windows, then by template order) that reaches ``THRESHOLD``.  A file without one takes the license of the
 nearest directory above it that has one; a directory's license is that of its license files.
 
-Lines that hold none of the distinctive terms cannot reach the threshold (Cauchy-Schwarz over the other terms)
-and are not weighed.  Null and empty texts have no license of their own; null paths inherit nothing; of several
+What holds none of the distinctive terms, or too little of a template's weight, cannot reach the threshold
+(Cauchy-Schwarz over the terms in common) and is not weighed.  Null and empty texts have no license of their own; null paths inherit nothing; of several
 license files in a directory the one with the best score counts, then the least path, then the least license;
 repeated rows each keep their own row.
 """
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docfields.llm.base import cut
+
 THRESHOLD = 0.6
 #: Names of license files.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
@@ -56,12 +59,13 @@ class Matcher:
     def __init__(self, templates: list[tuple[str, str]], documents: int, holding: dict[str, int], threshold: float = THRESHOLD):
         self.documents, self.holding, self.threshold = documents, holding, threshold
         self.rare = math.log(1 + documents / 2)
-        self.vectors = []
+        self.vectors, self.lengths = [], []
         for name, text in templates:
             v = self.vector(text)
             norm = math.sqrt(sum(x * x for x in v.values()))
             if norm:
                 self.vectors.append((name, {t: x / norm for t, x in v.items()}))
+                self.lengths.append(len(terms(text)))
         # Terms of little weight are left out while no template can be reached with them alone.
         weak: set[str] = set()
         left = [0.0] * len(self.vectors)
@@ -94,6 +98,32 @@ class Matcher:
                     found = (name, score)
         return found
 
+    def notice(self, text: str) -> tuple[str | None, float]:
+        """License and cosine of the best line, whole text or window, or (None, 0.0)."""
+        words = terms(text)
+        if self.strong.isdisjoint(words):
+            return None, 0.0
+        found = max(self.best(text), self.best(text.replace("\n", " ")), key=lambda x: x[1])
+        least = (self.threshold * 0.999) ** 2
+        for (name, t), length in zip(self.vectors, self.lengths, strict=True):
+            hits = [i for i, w in enumerate(words) if w in t]
+            mass = [t[words[i]] ** 2 for i in hits]
+            after, inside = 0, 0.0
+            for k, i in enumerate(hits):
+                while after < len(hits) and hits[after] < i + length:
+                    inside += mass[after]
+                    after += 1
+                # A term that comes twice counts twice here, so this is no less than the weight in common.
+                if inside >= least:
+                    v = Counter(words[i : i + length])
+                    if sum(t[w] ** 2 for w in v if w in t) >= least:
+                        v = {w: n * self.idf(w) for w, n in v.items()}
+                        score = sum(x * v.get(w, 0.0) for w, x in t.items()) / math.sqrt(sum(x * x for x in v.values()))
+                        if score >= self.threshold and score > found[1] + 1e-12:
+                            found = (name, score)
+                inside -= mass[k]
+        return found
+
 
 def counts(texts: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
     """Documents in all, and those that hold each term of the templates: one number a term comes to the driver."""
@@ -126,13 +156,13 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licen
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(chosen, documents, holding)
         for batch in batches:
-            found = [matcher.best(t or "") for t in batch.column("text").to_pylist()]
+            found = [matcher.notice(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("path"), pa.array([n for n, _ in found], pa.string()), pa.array([round(s, 9) for _, s in found], pa.float64())],
                 ["doc_id", "path", "own_license", "own_score"],
             )
 
-    own = rows.mapInArrow(go, "doc_id long, path string, own_license string, own_score double")
+    own = cut(rows.mapInArrow(go, "doc_id long, path string, own_license string, own_score double"))  # read four times, without texts
     is_file = F.regexp_extract("path", r"[^/]*$", 0).rlike(FILES) if license_file is None else license_file
     folder = F.regexp_replace(F.col("path"), r"/?[^/]*$", "")
     first = F.min(F.struct(-F.col("own_score"), "path", "own_license"))

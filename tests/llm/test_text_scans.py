@@ -110,6 +110,21 @@ def test_licenses(spark):
     assert licenses.scan(frame.where("false")).count() == 0
 
 
+def test_licenses_beside_other_text(spark):
+    """Notices that share a line, are wrapped over lines, or stand in a long text without line breaks."""
+    filler = " ".join(f"w{i} the and" for i in range(300))
+    texts = [
+        ("Apache-2.0", "Copyright 2019 The Foo Authors. Licensed under the Apache License, Version 2.0."),
+        ("Proprietary", "Copyright (c) 2021 Acme Corporation. All rights reserved."),
+        ("MIT", "This file is part of Foo. Released under the MIT License."),
+        ("GPL-3.0", "# This program is free software: you can\n# redistribute it and/or modify it\n# under the terms of the GNU\n# General Public License"),
+        ("BSD-3-Clause", f"{filler} {licenses.TEMPLATES[8][1]} {filler}"), ("MPL-2.0", f"{filler} {licenses.TEMPLATES[9][1]}"), (None, filler), (None, "rights of way and some seats at all"),
+    ]
+    frame = spark.createDataFrame([(i, f"d{i}/x", t) for i, (_, t) in enumerate(texts)] + [(100 + i, None, f"plain words {i}") for i in range(60)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.scan(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_license_bound_is_exact():
     texts = ["Licensed under the Apache License", "license of version 2.0 apache", "rights", "all rights reserved here", "the MIT license", "work version public", "x y z"]
     m = licenses.Matcher(list(licenses.TEMPLATES), 50, {t: i % 7 for i, t in enumerate(sorted({t for _, x in licenses.TEMPLATES for t in licenses.terms(x)}))})
