@@ -180,8 +180,14 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licen
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """doc_id, path, text of ``documents``, which have no paths: source / language / 64 neighbouring ids / id."""
+    """doc_id, path, text of ``documents``, which have no paths: source / language / 64 neighbouring ids / ... / id.
+
+    Every third id lies in that folder itself, the next in its folder of 16 ids, the next in the folder of 4 ids in
+    that one, so that licenses above leaf folders are inherited.
+    """
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     shelf = F.floor(F.col("doc_id") / 64).cast("string")
-    path = F.concat_ws("/", part("source"), part("lang"), F.coalesce(shelf, F.lit("none")), F.concat(part("doc_id"), F.lit(".txt")))
+    deep = F.pmod(F.col("doc_id"), F.lit(3))
+    below = [F.when(deep >= k, F.floor(F.col("doc_id") / n).cast("string")) for k, n in ((1, 16), (2, 4))]  # concat_ws leaves nulls out
+    path = F.concat_ws("/", part("source"), part("lang"), F.coalesce(shelf, F.lit("none")), *below, F.concat(part("doc_id"), F.lit(".txt")))
     return docs.select("doc_id", path.alias("path"), "text")

@@ -125,6 +125,28 @@ def test_licenses_beside_other_text(spark):
     assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
 
 
+def test_document_paths_inherit_from_above(spark):
+    """The paths the query makes, against a search of every folder above each file."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([licenses.TEMPLATES[0][1], licenses.TEMPLATES[10][1]]) if i % 13 == 0 else f"words {i}", "en", "s", 1) for i in range(200)]
+    frame = spark.createDataFrame([*rows, (None, "x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = licenses.scan(licenses.document_paths(frame), license_file=licenses.F.lit(True)).collect()
+    best = {}
+    for r in got:
+        if r["own_license"]:
+            folder = r["path"].rpartition("/")[0]
+            best[folder] = min(best.get(folder, (9,)), (-r["own_score"], r["path"], r["own_license"]))
+    above = 0
+    for r in got:
+        own = folder = r["path"].rpartition("/")[0]
+        while folder and folder not in best:
+            folder = folder.rpartition("/")[0]
+        if r["own_license"] is None:
+            assert (r["inherited_from"], r["license"]) == ((folder, best[folder][2]) if folder else (None, None))
+            above += bool(folder) and folder != own
+    assert len(got) == 201 and above > 20
+
+
 def test_license_bound_is_exact():
     texts = ["Licensed under the Apache License", "license of version 2.0 apache", "rights", "all rights reserved here", "the MIT license", "work version public", "x y z"]
     m = licenses.Matcher(list(licenses.TEMPLATES), 50, {t: i % 7 for i, t in enumerate(sorted({t for _, x in licenses.TEMPLATES for t in licenses.terms(x)}))})
