@@ -22,7 +22,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})")
+_GROUPS = re.compile(r"(?: ?[A-Z0-9]){11,30}")
 
 #: Words near a span that make its kind likelier, in any of the corpus languages.
 CONTEXT = {
@@ -63,6 +64,26 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield i, done
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers that mod-97 confirms; of several ends after which no letter or digit follows, the farthest."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        end = _GROUPS.match(text, m.end()).end()
+        while True:
+            number = text[m.start() : end].replace(" ", "")
+            if len(number) < 15:
+                break
+            if not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()) and mod97(number):
+                done = end
+                yield m.start(), end
+                break
+            end -= 1
+            while text[end - 1] == " ":
+                end -= 1
+
+
 def _octets(found: str) -> bool:
     return all(len(x) <= 3 and (not x or int(x) <= 255) for x in (p.lstrip("0") for p in found.split(".")))
 
@@ -78,10 +99,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 out.append(("card", m.start(), m.end()))
     if "+" in text:
         out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
-    for m in _IBAN.finditer(text):
-        number = m[0].replace(" ", "")
-        if 15 <= len(number) <= 34 and mod97(number):
-            out.append(("iban", m.start(), m.end()))
+    out += [("iban", *x) for x in _ibans(text)]
     return out
 
 

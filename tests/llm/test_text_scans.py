@@ -44,6 +44,15 @@ def test_personal_data(documents):
     assert row["scores"][0] > pii.PRIOR["email"]
 
 
+def test_ibans_end_before_other_words():
+    one, two = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    of = lambda t: [t[a:b] for k, a, b in pii.spans(t) if k == "iban"]
+    assert of(f"{one} BIC COBADEFFXXX") == [one] and of("DE89370400440532013000 EUR 100") == ["DE89370400440532013000"]
+    assert of(f"{one} {two} {one}") == [one, two, one] and of(f"x {one} 12") == [one] and of(f"{one}, {two}.") == [one, two]
+    assert of("DE89370400440532013000x") == of("DE88 3704 0044 0532 0130") == of("AB12 " * 2000) == []
+    assert pii.masked(f"{one} BIC COBADEFFXXX") == "[IBAN] BIC COBADEFFXXX"
+
+
 def test_masking(documents):
     rows = {r["doc_id"]: r for r in pii.mask(documents(HARD)).collect()}
     text = rows[HARD.index(next(t for t in HARD if t and "IBAN" in t))]["text"]
