@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
+_U = np.uint64
+_BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_ODD = 0x9E3779B97F4A7C15
+#: Bytes of a run from which it is hashed alone.
+LONG = 64
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,3 +67,45 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) ->
         if start < len(lengths):
             part = batch.slice(start)
             yield part, as_bytes(part.column(name))
+
+
+def groups(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
+    """Texts of ``most`` bytes together, or one longer than that alone."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t) > most:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield own
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> _U(33))
+
+
+def _powers(x: int, n: int) -> np.ndarray:
+    """Powers of a number modulo 2 to the 64."""
+    p = np.full(n, x, np.uint64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+def run_hashes(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes, wherever they stand: differences of one running sum over all bytes."""
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(_powers(_ODD, len(flat)) * _BYTES[flat], out=total[1:])
+    out = mixed((total[starts + sizes] - total[starts]) * _powers(pow(_ODD, -1, 1 << 64), len(flat))[starts] + sizes.astype(np.uint64))
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(flat[starts[k] : starts[k] + sizes[k]].tobytes())
+    return out

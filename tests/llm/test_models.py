@@ -46,7 +46,7 @@ def test_round_trips_and_bytes(vocabulary):
 
 def test_cutting_changes_no_path(vocabulary):
     whole = unigram.load("piece_bpe_32k.model")
-    whole.units = None
+    whole.marks[:], whole.crosses = 0, True
     score = lambda v, ids: sum(v.cost[i] if v.kinds[i] == "normal" else 0 for i in ids)
     rng = random.Random(4)
     for _ in range(60):
@@ -87,6 +87,13 @@ def test_expected_counts_against_all_segmentations():
     pieces = ["<unk>", "▁", "a", "b", "ab", "▁a", "aba", "ba", "é"]
     v = unigram.Vocabulary(pieces, [0, -3.0, -2.0, -2.5, -3.2, -4.0, -4.1, -3.9, -6.0], ["unknown", *["normal"] * 8])
     texts = ["▁" + "".join(x) for n in range(1, 5) for x in itertools.product("abéx", repeat=n)] + ["▁" + "abx" * 400]
+
+    def expected(texts, times):
+        raw = [t.replace("▁", " ").encode() for t in texts]
+        sizes = np.array([len(t) for t in raw])
+        lattice = unigram.Lattice(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes, v.trie)
+        return lattice.expected(np.array(times), np.array(v.cost), unknown, len(pieces)) / unigram.PARTS
+
     unknown = v.least - unigram.PENALTY
 
     def paths(t):
@@ -104,14 +111,68 @@ def test_expected_counts_against_all_segmentations():
         whole = sum(np.exp(s) for s, _ in found)
         for s, x in found:
             np.add.at(want, x, 2 * np.exp(s) / whole)
-    times = np.full(len(texts) - 1, 2)
-    got = unigram.expected([t.encode() for t in texts[:-1]], times, v.arrays(), np.array(v.cost), unknown) / unigram.PARTS
+    got = expected(texts[:-1], [2] * (len(texts) - 1))
     assert np.abs(got - want).max() < 0.05
     # A text too long for plain products is summed in logarithms.
-    long = unigram.expected([texts[-1].encode()], np.array([1]), v.arrays(), np.array(v.cost), unknown) / unigram.PARTS
+    long = expected(texts[-1:], [1])
     assert abs(long @ [len(p) for p in pieces] - 801) < 0.1
 
 
+@pytest.fixture(scope="module")
+def weighed(vocabulary):
+    """The vocabulary with log scores in sixteenths, whose sums are exact in 32-bit floats, as the library adds them."""
+    rng = random.Random(2)
+    return vocabulary.rescored([-round(16 * (3 + 8 * rng.random() / len(p))) / 16 if k == "normal" else 0.0 for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)])
+
+
+def test_encoding_against_the_library(spark, weighed, tmp_path):
+    import sentencepiece
+
+    data = weighed.proto()
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["", " ", "a", "  two  blanks ", "línea\nnueva\t\r\n", "日本語 😀 \x01", "▁x ▁ y▁", "ü" * 700, "x" * 3000 + ",b", "|a|b|", " ,. a", "a\u3000b"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("the and,. \n|éa1'ing日") for _ in range(rng.randrange(90))) for _ in range(300)]
+    texts += [r["text"][:4000] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").limit(150).collect()]
+    ids, n, backs = weighed.encode_all([t.encode() for t in texts])
+    got = np.split(ids, np.cumsum(n)[:-1])
+    for text, own, back in zip(texts, got, backs, strict=True):
+        assert own.tolist() == library.encode(text) == weighed.exact(text.encode()), text
+        assert back == library.decode(own.tolist()) == text.replace("▁", " "), text
+    # The same model from a file, which says that its scores are log scores, is not fitted again.
+    (tmp_path / "own.model").write_bytes(data)
+    read = unigram.load(str(tmp_path / "own.model"))
+    assert read.unigram and read.scores == weighed.scores and read.pieces == weighed.pieces
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in unigram.encode(frame, str(tmp_path / "own.model")).collect()}
+    assert all(rows[i]["ids"] == library.encode(t) and rows[i]["n_ids"] == len(rows[i]["ids"]) for i, t in enumerate(texts))
+
+
+def test_units_of_one_hash_are_told_apart(weighed, monkeypatch):
+    own = unigram.load("piece_bpe_32k.model").rescored(weighed.scores)
+    real = unigram.Vocabulary.units
+    monkeypatch.setattr(unigram.Vocabulary, "units", lambda self, parts: (*real(self, parts)[:3], real(self, parts)[3] % np.uint64(3)))
+    texts = ["the cat sat on the mat", "a dog", "the cat", "", "mat mat mat"]
+    assert [own.encode(t) for t in texts] == [weighed.exact(t.encode()) for t in texts]
+
+
+def test_long_texts_in_parts(weighed, monkeypatch):
+    text = ("the  cat, " * 40 + "\n" + "x" * 90) * 20 + " "
+    whole = weighed.exact(text.encode())
+    monkeypatch.setattr(unigram, "CHUNK", 64)
+    small = unigram.load("piece_bpe_32k.model").rescored(weighed.scores)
+    assert len(small.parts(text.encode())) > 50 and b"".join(small.parts(text.encode())) == b" " + text.encode()
+    assert small.encode(text) == whole and small.decode(whole) == text
+
+
+def test_changing_normalisers_are_refused(weighed):
+    field = lambda number, n: bytes([number << 3, n])
+    for changed in (field(4, 1), b"\x12\x01x"):
+        spec = b"\x0a\x08identity" + field(3, 1) + (b"" if changed[0] == 32 else field(4, 0)) + changed
+        with pytest.raises(ValueError, match="normaliser"):
+            unigram.parsed(b"\x0a\x05\x0a\x03abc" + bytes([26, len(spec)]) + spec)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(3)
 
@@ -142,10 +203,42 @@ def test_neighbours(spark):
 
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
-    x, q = rng.standard_normal((2000, 64)), rng.standard_normal((50, 64))
-    centre, turn = x.mean(0), ann.rotation(64)
-    mid, err = ann.estimate(q, *ann.encode(x, centre, turn), centre, turn)
-    assert (np.abs(mid - q @ x.T) <= err).mean() > 0.99
+    x, q = rng.standard_normal((2000, 100)), rng.standard_normal((50, 100))
+    for dim in (64, 100, 7):
+        centre = x[:, :dim].mean(0)
+        queries = ann.Queries(np.arange(50), np.arange(50), q[:, :dim], centre)
+        mid, err = queries.estimate(slice(0, 50), *ann.encode(x[:, :dim], centre, ann.rotation(dim)))
+        assert (np.abs(mid - q[:, :dim] @ x[:, :dim].T) <= err).mean() > 0.94  # two standard deviations
+        # But for the query's own rounding, the estimate is the corrected inner product with the code.
+        turned = (x[:, :dim] - centre) @ ann.rotation(dim)
+        scale = (turned**2).sum(1) / np.abs(turned).sum(1)
+        code = (q[:, :dim] @ ann.rotation(dim)) @ np.sign(turned).T * scale + (q[:, :dim] @ centre)[:, None]
+        assert (np.abs(mid - code) <= 7 * queries.lost[:, None] * scale * np.sqrt(dim) + 1e-3).all()
+
+
+def test_recall_of_neighbours(spark):
+    table = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet")
+    rows = table.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = {}
+    for r in ann.nearest(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    assert hits >= 0.98 * 20 * len(got) and len(got) == (ids % 20 == 0).sum()
+
+
+def test_neighbours_of_repeated_rows(spark, monkeypatch):
+    rows = [(20, [1.0, 0.0], ""), (20, [0.0, 1.0], ""), (20, [0.0, 1.0], ""), (7, [2.0, 2.0], ""), (7, [2.0, 2.0], "")]
+    for block in (ann.BLOCK, 16):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        got = sorted(tuple(r) for r in ann.nearest(vectors(spark, rows)).collect())
+        # Three rows ask, each of all rows but itself: the others of its own id too.
+        first, other = [(7, 2.0), (7, 2.0), (20, 0.0), (20, 0.0)], [(7, 2.0), (7, 2.0), (20, 1.0), (20, 0.0)]
+        assert got == sorted((20, i + 1, v, s) for asked in (first, other, other) for i, (v, s) in enumerate(asked))
 
 
 def test_fingerprints(documents):
