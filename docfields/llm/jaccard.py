@@ -29,57 +29,51 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, partitions, release, slices
+from docfields.llm.base import cut, groups, mixed, partitions, release, run_hashes, slices
 from docfields.llm.graph import components
 
 WORDS, PERCENT = 5, 75
-#: Min-hashes of a set in each round of grouping, and members of a block of an opened group.
-HASHES, ROUNDS, BLOCK = 5, 1, 256
+#: Min-hashes of a set, and members of a block of an opened group.
+HASHES, BLOCK = 5, 256
 #: Counters of the sketch, and parts in which it is summed.
 COUNTERS, PARTS = 1 << 20, 64
 #: Matrix entries that a task gathers before it sends them.
 GATHER = 1 << 20
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Bytes of texts whose tokens are made together.
+TOGETHER = 1 << 19
+
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 _U = np.uint64
 _PLACES = np.random.default_rng(3).integers(1, 1 << 63, WORDS, dtype=np.uint64) * _U(2) + _U(1)
-_SEEDS = np.random.default_rng(4).integers(1, 1 << 62, HASHES * ROUNDS, dtype=np.uint64) * _U(2) + _U(1)
+_SEEDS = np.random.default_rng(4).integers(1, 1 << 62, HASHES, dtype=np.uint64) * _U(2) + _U(1)
 #: Tokens up to which the min-hashes of a set are worked out together.
 WIDE = 4096
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered while there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-def tokens(text: bytes) -> np.ndarray:
-    """Ascending distinct hashes of the word 5-grams of a text; of all its words, if they are fewer."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < WORDS:
-        return _mix((h * _PLACES[: len(h)]).sum(keepdims=True) + _U(len(h)))
-    n = len(h) - WORDS + 1
+def tokens(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the ascending distinct hashes of its word 5-grams; of all its words, if they are fewer."""
+    flat = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]  # a blank after each text, so no word goes on
+    edge = np.diff(np.concatenate([[True], _SPACE[flat]]).astype(np.int8))
+    starts = np.flatnonzero(edge == -1)
+    h = run_hashes(flat, starts, np.flatnonzero(edge == 1) - starts)
+    last = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    n = max(0, len(h) - WORDS + 1)
     total = h[:n] * _PLACES[0]
     for i in range(1, WORDS):
         total += h[i : n + i] * _PLACES[i]
-    return np.unique(_mix(total))
+    total, out, a = mixed(total), [], 0
+    for b in last:
+        if b - a >= WORDS:
+            t = np.sort(total[a : b - WORDS + 1])
+            new = np.ones(len(t), bool)
+            new[1:] = t[1:] != t[:-1]
+            out.append(t[new])
+        else:
+            out.append(mixed((h[a:b] * _PLACES[: b - a]).sum(keepdims=True) + _U(b - a)) if b > a else np.zeros(0, np.uint64))
+        a = b
+    return out
 
 
 def needed(n: int) -> int:
@@ -105,52 +99,49 @@ def _keys(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press, sent = zstandard.ZstdCompressor(3), set()
-    for batch, texts in slices(batches, "text"):
-        sizes, keys, blobs = [], [], []
-        for text in texts:
-            t = tokens(text)
+    """The rows with the names of their token sets; a set's text, compressed, and min-hashes stand at one row of it a task.
+
+    At last come the task's counts of tokens, in parts.
+    """
+    press, sent, counts = zstandard.ZstdCompressor(3), set(), np.zeros(COUNTERS, np.int64)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+    names = ["doc_id", "n", "sid", "blob", "k1", "k2", "mins", "part"]
+    for batch, texts in slices(batches, "text", TOGETHER):
+        sizes, keys, blobs, mins, fresh = [], [], [], [], []
+        for text, t in zip(texts, tokens(texts), strict=True):
             sizes.append(len(t))
             key = xxhash.xxh3_64_intdigest(t.tobytes()) >> 1 if len(t) else None
             keys.append(key)
-            blobs.append(press.compress(text) if key is not None and key not in sent else None)
+            if key is None or key in sent:
+                blobs.append(None)
+                mins.append(None)
+                continue
+            blobs.append(press.compress(text))
+            # Tokens are hashes already, so products with odd numbers are enough to order them anew.
+            least = np.multiply.outer(t, _SEEDS).min(0) if len(t) <= WIDE else np.array([(t * x).min() for x in _SEEDS])
+            mins.append(least.astype(np.int64))
+            fresh.append(t)
             if len(sent) < GATHER:
                 sent.add(key)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary()), batch.column("k1"), batch.column("k2")],
-            ["doc_id", "n", "sid", "blob", "k1", "k2"],
-        )
+        if fresh:
+            counts += np.bincount((np.concatenate(fresh) >> _U(44)).astype(np.int64), minlength=COUNTERS)
+        columns = [batch.column("doc_id"), sizes, keys, blobs, batch.column("k1"), batch.column("k2"), mins, [None] * len(texts)]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    fast = zstandard.ZstdCompressor(1)
+    parts = [fast.compress(p.tobytes()) for p in np.split(np.minimum(counts, 65535).astype(np.uint16), PARTS)]
+    none = [None] * PARTS
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([none, none, none, parts, none, none, none, range(PARTS)], kinds, strict=True)], names)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
     """(batch, row, tokens) of every row that holds a compressed text."""
     press = zstandard.ZstdDecompressor()
     for batch in batches:
-        for i, blob in enumerate(batch.column("blob").to_pylist()):
-            yield batch, i, tokens(press.decompress(blob))
-
-
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Min-hashes of each set (place, bucket, sid), and then the task's counts of tokens (place from -1 down, counts)."""
-    counts = np.zeros(COUNTERS, np.uint32)
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-
-    def out(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["place", "bucket", "sid", "counts"])
-
-    for batch in batches:
-        places, buckets, sids = [], [], []
-        for b, i, t in _read(iter([batch])):
-            np.add.at(counts, (t >> _U(44)).astype(np.int64), 1)
-            sid = b.column("sid")[i].as_py()
-            # Tokens are hashes already, so products with odd numbers are enough to order them anew.
-            places += range(len(_SEEDS))
-            sids += [sid] * len(_SEEDS)
-            buckets += (np.multiply.outer(t, _SEEDS).min(0) if len(t) <= WIDE else np.array([(t * x).min() for x in _SEEDS])).astype(np.int64).tolist()
-        yield out(places, buckets, sids, [None] * len(sids))
-    press = zstandard.ZstdCompressor(1)
-    parts = [press.compress(p.tobytes()) for p in np.split(np.minimum(counts, 65535).astype(np.uint16), PARTS)]
-    yield out([-1 - i for i in range(PARTS)], [None] * PARTS, [None] * PARTS, parts)
+        blobs, at = batch.column("blob"), 0
+        for some in groups((press.decompress(b.as_buffer()) for b in blobs), TOGETHER):
+            for t in tokens(some):
+                yield batch, at, t
+                at += 1
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +154,9 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def sketch(survey: DataFrame) -> np.ndarray:
+def sketch(rows: DataFrame) -> np.ndarray:
     """About how many sets hold each token, by the token's first bits: ``COUNTERS`` numbers, whatever the input."""
-    parts = survey.where("place < 0").select((-1 - F.col("place")).alias("part"), "counts")
+    parts = rows.where("part is not null").select("part", F.col("blob").alias("counts"))
     rows = parts.repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()
     out = np.zeros(COUNTERS, np.uint32)
     for r in rows:
@@ -213,7 +204,7 @@ def opened(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _linked_within(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """a, b: links that join all members of a block (grp, block, sid, comp) that any chain of its links joins.
+    """a, b: links that join all members of a block (grp, block, sid) that any chain of its links joins.
 
     Members of one component are not compared, so a block of near copies takes about one comparison a member.
     """
@@ -230,51 +221,40 @@ def _linked_within(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for batch, i, t in _read(batches):
             at = (batch.column("grp")[i].as_py(), batch.column("block")[i].as_py())
-            sid, comp = batch.column("sid")[i].as_py(), batch.column("comp")[i].as_py()
+            sid = batch.column("sid")[i].as_py()
             if at != now:
                 now, members, top = at, [], {}
             if members and members[-1][0] == sid:
                 continue
-            for other, theirs, m in members:
-                if find(theirs) != find(comp) and linked(t, m):
-                    top[find(theirs)] = find(comp)
+            for other, m in members:
+                if find(other) != find(sid) and linked(t, m):
+                    top[find(other)] = find(sid)
                     links.append((sid, other))
-            members.append((sid, comp, t))
+            members.append((sid, t))
             if len(links) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
                 links = []
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return rows.sortWithinPartitions("grp", "block", "sid").select("grp", "block", "sid", "comp", "blob").mapInArrow(go, "a long, b long")
+    return rows.sortWithinPartitions("grp", "block", "sid").select("grp", "block", "sid", "blob").mapInArrow(go, "a long, b long")
 
 
-def _groups(sets: DataFrame, survey: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links, and the components (node, comp) that they make, that put similar sets into groups, in ``ROUNDS`` rounds of different min-hashes.
+def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links, and the components (node, comp) that they make, that put similar sets into groups.
 
     Sets that share a min-hash are gathered under the least of them and compared in blocks of ``BLOCK`` at most, each
-    with that least one.  A later round takes a few members of each group so far, so that groups meet and sets that
-    stood alone meet groups.
+    with that least one.
     """
-    links, known = None, None
-    for r in range(ROUNDS):
-        own = survey.where(F.col("place").between(r * HASHES, r * HASHES + HASHES - 1)).select("place", "bucket", "sid").distinct()
-        if known is None:
-            own = own.withColumn("comp", F.col("sid"))
-        else:
-            nth = F.row_number().over(Window.partitionBy("comp", "part").orderBy(F.xxhash64("node", F.lit(r))))
-            # Parts keep a large group from one task; each part lends a few members.
-            lent = known.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("nth", nth)
-            own = own.join(lent, F.col("sid") == F.col("node"), "left").where("nth is null or nth <= 2").select("place", "bucket", "sid", F.coalesce("comp", "sid").alias("comp"))
-        hubs = own.groupBy("place", "bucket").agg(F.min(F.struct("sid", "comp")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = own.join(hubs, ["place", "bucket"]).where("sid <> hub.sid").groupBy(F.col("hub.sid").alias("grp"), F.col("hub.comp").alias("of"), "sid", "comp")
-        met = cut(met.agg(F.max("size").alias("size")))
-        met = met.withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK)))
-        hub = met.select("grp", "block", F.col("grp").alias("sid"), F.col("of").alias("comp")).distinct()
-        new = cut(_linked_within(sets, hub.unionByName(met.select("grp", "block", "sid", "comp"))))
-        links = new if links is None else links.unionByName(new)
-        known = cut(components(links))
-        release(sets.sparkSession)
+    own = sets.select("sid", F.posexplode("mins").alias("place", "bucket")).distinct()
+    hubs = own.groupBy("place", "bucket").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = own.join(hubs, ["place", "bucket"]).where("sid <> hub").groupBy(F.col("hub").alias("grp"), "sid")
+    met = cut(met.agg(F.max("size").alias("size")))
+    met = met.withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("size") / BLOCK)))
+    hub = met.select("grp", "block", F.col("grp").alias("sid")).distinct()
+    links = cut(_linked_within(sets, hub.unionByName(met.select("grp", "block", "sid"))))
+    known = cut(components(links))
+    release(sets.sparkSession)
     return links, known
 
 
@@ -375,16 +355,16 @@ def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     k1, k2 = _keys(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    rows = cut(rows.mapInArrow(_sets, "doc_id long, n long, sid long, blob binary, k1 long, k2 long"))
+    full = cut(rows.mapInArrow(_sets, "doc_id long, n long, sid long, blob binary, k1 long, k2 long, mins array<long>, part int"))
+    rows = full.where("part is null")
     # Equal sets of several tasks come several times; every step below takes them as one.
-    sets = rows.where("blob is not null").select("sid", "n", "blob")
-    survey = cut(sets.select("sid", "blob").mapInArrow(_survey, "place int, bucket long, sid long, counts binary"))
-    first, known = _groups(sets, survey)
+    sets = rows.where("blob is not null").select("sid", "n", "blob", "mins")
+    first, known = _groups(sets)
     size = known.groupBy("comp").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("comp", "of")
     grouped = sets.select("sid").distinct().join(known, F.col("sid") == F.col("node"), "left").join(size, F.col("comp") == F.col("of"), "left")
     grouped = cut(grouped.select("sid", F.coalesce("comp", "sid").alias("grp"), F.coalesce("members", F.lit(1)).alias("members")))
     named = sets.join(grouped.select("sid", "grp", (F.col("members") == 1).alias("alone")), "sid")
-    near = cut(_matrix(named, sketch(survey), partitions(spark)))
+    near = cut(_matrix(named, sketch(full), partitions(spark)))
     release(spark)
     counts = grouped.select("grp", "members").distinct()
     near = near.join(counts.toDF("p", "mp"), "p").join(counts.toDF("q", "mq"), "q")
