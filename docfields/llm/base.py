@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _U = np.uint64
@@ -25,11 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="docfields-checkpoint-"))
-    return named
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, the folder that the context has already; a temporary one only where all runs on this machine.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docfields-checkpoint-"))
+    return named or known.get() if known.isDefined() else named
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that no name of its columns meets a name of a step's own."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
+
+
+def through_arrow(docs: DataFrame, go: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through ``go``, whose batches have the columns c0, c1 and so on of ``docs``, whatever those are named."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(go, plain.schema).toDF(*docs.columns)
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``row``; those in ``changed`` with new values, of the same types."""
+    cast = lambda c: changed[c].cast(docs.schema[c].dataType) if c in changed else F.col("row").getField(c)
+    return rows.select(*(cast(c).alias(c) for c in docs.columns))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, groups, mixed, partitions, release, run_hashes, slices
+from docfields.llm.base import cut, groups, mixed, packed, partitions, release, run_hashes, slices, unpacked
 from docfields.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -92,9 +92,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def _keys(docs: DataFrame) -> tuple[Column, Column]:
+def _keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     """Two hashes that name a row by its id and text."""
-    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_, text = doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit(""))
     return F.xxhash64(id_, text), F.xxhash64(text, id_, F.lit(1))
 
 
@@ -353,7 +353,7 @@ def _matrix(sets: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
 def _joined(docs: DataFrame) -> DataFrame:
     """doc_id, n, k1, k2 (hashes of id and text), comp for each row of ``docs``; comp is null without tokens."""
     spark = docs.sparkSession
-    k1, k2 = _keys(docs)
+    k1, k2 = _keys(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
     full = cut(rows.mapInArrow(_sets, "doc_id long, n long, sid long, blob binary, k1 long, k2 long, mins array<long>, part int"))
     rows = full.where("part is null")
@@ -397,12 +397,13 @@ def one_each(docs: DataFrame) -> DataFrame:
     """
     light = cut(_joined(docs))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("x")
-    kept = light.where("comp is not null").groupBy("comp").agg(first).select("x.k1", "x.k2", F.lit(True).alias("one"))
-    kept = kept.unionByName(light.where("comp is null").select("k1", "k2", F.lit(False).alias("one")).distinct()).toDF("_k1", "_k2", "_one")
-    keys = _keys(docs)
-    rows = docs.withColumn("_h1", keys[0]).withColumn("_h2", keys[1]).join(kept, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")))
-    nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1"))
-    return rows.withColumn("_nth", nth).where("_nth = 1 or not _one").select(*docs.columns)
+    kept = light.where("comp is not null").groupBy("comp").agg(first).select("x.k1", "x.k2")
+    row = F.col("row")
+    k1, k2 = _keys(row["doc_id"], row["text"])
+    blank = F.coalesce(F.length(F.btrim(row["text"].cast("string"), F.lit(" \t\n\x0b\f\r"))), F.lit(0)) == 0
+    # Equal rows are one before they are dealt out, however many there are.
+    ones = packed(docs).where(~blank).groupBy(k1.alias("k1"), k2.alias("k2")).agg(F.first("row").alias("row")).join(kept, ["k1", "k2"])
+    return unpacked(ones.select("row").unionByName(packed(docs).where(blank)), docs)
 
 
 SQL = rf"""

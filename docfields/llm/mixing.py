@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut
+from docfields.llm.base import cut, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -59,14 +59,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", "n", target.alias("target"))
 
 
-def _key(seed: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
+def _key(seed: str, doc_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string")))
 
 
 def _cut(docs: DataFrame, seed: str) -> DataFrame:
     """One row for each row of ``docs``: its numbers, its source's, and `before`, the words of the source that come before it."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _key(seed).alias("key")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), _key(seed, F.col("doc_id")).alias("key")
     )
     rows = cut(rows)  # the texts are read once; what is left is a few numbers a document
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -106,27 +106,26 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     same = Window.partitionBy("source", "range", "key", "doc_id", "size")
     ties = rows.withColumn("first", F.min("before").over(same)).withColumn("ties", F.count(F.lit(1)).over(same))
     ends = ties.where("rest > 0 and before < rest and before + size >= rest").groupBy("source").agg(
-        *(F.first(c).alias(f"_{c}") for c in ("key", "doc_id", "size", "whole")),
-        F.first(F.least("size", F.floor((F.col("rest") - F.col("first")) / F.col("ties")))).alias("_part"),
+        *(F.first(c).alias(c) for c in ("key", "doc_id", "size", "whole")),
+        F.first(F.least("size", F.floor((F.col("rest") - F.col("first")) / F.col("ties")))).alias("part"),
     )
-    none = rows.where("rest <= 0").groupBy("source").agg(F.first("whole").alias("_whole"))
-    ends = ends.unionByName(none, allowMissingColumns=True).withColumnRenamed("source", "_source")
-    at = F.struct(F.col("_now").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    end = F.struct(F.col("_key").alias("key"), F.col("_doc_id").alias("doc_id"))
-    size = words(F.col("text"))
-    less = F.when(F.col("_key").isNull(), F.lit(False)).when(at < end, F.lit(True)).when(at == end, size < F.col("_size")).otherwise(F.lit(False))
-    equal = F.when((F.col("_now") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")), size == F.col("_size")).otherwise(F.lit(False))
-    joined = docs.withColumn("_now", _key(seed)).join(ends, docs["source"].cast("string").eqNullSafe(F.col("_source")))
-    joined = joined.withColumn("_copies", F.col("_whole") + less.cast("long")).withColumn("_left", F.when(equal, F.col("_part")).otherwise(F.lit(0)).cast("int"))
-    full = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-    takes = F.concat(full, F.when(F.col("_left") > 0, F.array("_left")).otherwise(F.expr("cast(array() as array<int>)")))
-    out = joined.withColumn("_take", F.explode(takes))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("_take")), " ")
-    out = out.withColumn("text", F.when(F.col("_take") > 0, head).otherwise(F.col("text")))
+    none = rows.where("rest <= 0").groupBy("source").agg(F.first("whole").alias("whole"))
+    ends = ends.unionByName(none, allowMissingColumns=True)
+    row = F.col("row")
+    doc_id, text = row["doc_id"].cast("long"), row["text"].cast("string")
+    at, end = F.struct(F.col("now").alias("key"), doc_id.alias("doc_id")), F.struct("key", "doc_id")
+    less = F.when(F.col("key").isNull(), F.lit(False)).when(at < end, F.lit(True)).when(at == end, words(text) < F.col("size")).otherwise(F.lit(False))
+    equal = F.when((F.col("now") == F.col("key")) & doc_id.eqNullSafe(F.col("doc_id")), words(text) == F.col("size")).otherwise(F.lit(False))
+    joined = packed(docs).withColumn("now", _key(seed, row["doc_id"])).join(ends, row["source"].cast("string").eqNullSafe(F.col("source")))
+    joined = joined.withColumn("copies", F.col("whole") + less.cast("long")).withColumn("left", F.when(equal, F.col("part")).otherwise(F.lit(0)).cast("int"))
+    full = F.when(F.col("copies") > 0, F.array_repeat(F.lit(0), F.col("copies").cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    takes = F.concat(full, F.when(F.col("left") > 0, F.array("left")).otherwise(F.expr("cast(array() as array<int>)")))
+    out = joined.withColumn("take", F.explode(takes))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("take")), " ")
+    changed = {"text": F.when(F.col("take") > 0, head).otherwise(text)}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_take") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("take") > 0, F.length(head).cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return unpacked(out, docs, **changed)
 
 
 SQL = rf"""

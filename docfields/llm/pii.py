@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docfields.llm.base import slices, through_arrow
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
 
@@ -125,10 +127,11 @@ def digest(found: list[tuple[str, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, raws in slices(batches, "text"):
         rows = {k: [] for k in ("email", "ip", "card", "phone", "sha", "spans", "scores")}
-        for text in batch.column("text").to_pylist():
-            found = spans(text or "")
+        for raw in raws:
+            text = raw.decode("utf-8", "replace")
+            found = spans(text)
             base = [x for x in found if x[0] in BASE]
             for kind in BASE:
                 rows[kind].append(sum(x[0] == kind for x in base))
@@ -149,22 +152,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores: one row for each row of ``docs``."""
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(
         _scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores array<double>"
     )
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans in ``text`` masked; ``n_chars`` follows the new text."""
-    names = docs.columns
+    """``docs`` with the spans in ``text`` masked; ``n_chars`` follows the new text; types stay as they are."""
+    place = {c: i for i, c in enumerate(docs.columns)}
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if t is None else masked(t) for t in batch.column("text").to_pylist()]
-            cols = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    frame = docs.withColumn("n_chars", docs["n_chars"].cast("long")) if "n_chars" in names else docs
-    return frame.mapInArrow(go, frame.schema)
+        for batch, raws in slices(batches, f"c{place['text']}"):
+            columns = batch.columns
+            old = columns[place["text"]]
+            texts = [masked(t.decode("utf-8", "replace")) if ok else None for t, ok in zip(raws, old.is_valid().to_pylist(), strict=True)]
+            columns[place["text"]] = pa.array(texts, old.type)
+            if "n_chars" in place:
+                kind = columns[place["n_chars"]].type
+                columns[place["n_chars"]] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kind)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return through_arrow(docs, go)

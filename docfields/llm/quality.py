@@ -2,12 +2,13 @@
 
 A document is a bag of passages that together hold its whole text.  Each passage is encoded from hashed byte
 pairs; gated attention, learnt from document labels alone, weighs the passages; the weighted representation is
-scored.  Training uses a bounded sample of labelled documents (``SAMPLE`` of each label, chosen by hash, and
-``BAG`` passages of each at most, spread over its text); scoring reads every passage of every document.
+scored.  Training uses a bounded sample of labelled documents: by hash, ``SAMPLE`` of each label at most, and of these
+whole documents while they hold ``BYTES`` bytes at most together; every passage of a sampled document is in its bag.
+Scoring reads every passage of every document.
 
-Null and empty texts are one empty passage and get a score; repeated rows each keep their own row; documents
-with contradicting or null labels teach nothing; with labels of one kind only (or none) every score is that
-label (or 0.5).
+Null and empty texts are one empty passage and get a score; repeated rows each keep their own row, and teach once, by
+the text of least hash; documents with contradicting or null labels teach nothing; with labels of one kind only (or
+none) every score is that label (or 0.5).
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import slices
+from docfields.llm.base import cut, slices, through_arrow
 
-SAMPLE, BAG = 2000, 48
+SAMPLE, BYTES = 2000, 8 << 20
 PASSAGE, WIDTH = 400, 512
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE = 12, 64, 3e-3
@@ -55,10 +56,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches, "text", 2 << 20):
         x, bags = passages(texts)
         ends = np.cumsum(bags)
-        chosen = [x[e - n : e][np.unique(np.linspace(0, n - 1, min(n, BAG)).astype(int))] for n, e in zip(bags, ends, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([c.astype(np.float16).tobytes() for c in chosen], pa.binary())], ["label", "bag"]
-        )
+        blobs = [x[e - n : e].astype(np.float16).tobytes() for n, e in zip(bags, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array(blobs, pa.binary())], ["label", "doc_id", "bag"])
 
 
 @dataclass
@@ -129,16 +128,26 @@ def fit(bags: list[tuple[int, np.ndarray]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, usable: str = "true") -> Model:
     """Model from the labelled documents for which ``usable`` (SQL over doc_id) holds.
 
-    At most ``SAMPLE`` documents of each label and ``BAG`` passages of each reach the driver.
+    At most ``SAMPLE`` documents and ``BYTES`` bytes of text of each label teach; their encodings reach the driver.
     """
     clear = labels.where("doc_id is not null and quality in (0, 1)").where(usable).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most"))
-    clear = clear.where("label = most").select("doc_id", "label")
+    clear = clear.where("label = most").selectExpr("cast(doc_id as bigint) doc_id", "cast(label as int) label")
     one = lambda y: clear.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     few = one(0).unionByName(one(1))  # 2 x SAMPLE ids at most
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    rows = found.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_encode, "label int, bag binary").collect()
-    rows = sorted((r["label"], bytes(r["bag"])) for r in rows)[: 4 * SAMPLE]
-    return fit([(y, np.frombuffer(b, np.float16).reshape(-1, WIDTH + 2)) for y, b in rows])
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "coalesce(cast(text as string), '') text").join(F.broadcast(few), "doc_id")
+    # One row an id, however many there are; partial aggregates keep one each.
+    found = cut(texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
+    chosen, sizes = [], [0, 0]
+    for r in found.select("doc_id", "label", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # 2 x SAMPLE rows at most
+        if sizes[r["label"]] + r["size"] <= BYTES:
+            sizes[r["label"]] += r["size"]
+            chosen.append((r["doc_id"],))
+    if not chosen:
+        return fit([])
+    own = found.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id")
+    rows = own.select("label", "doc_id", "text").mapInArrow(_encode, "label int, doc_id long, bag binary").collect()
+    rows.sort(key=lambda r: (r["label"], r["doc_id"]))
+    return fit([(r["label"], np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH + 2)) for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -148,14 +157,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch, texts in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(texts), pa.float64())], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(go, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(go, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``ACCEPT``, columns as they are."""
 
+    text = f"c{docs.columns.index('text')}"
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 2 << 20):
+        for batch, texts in slices(batches, text, 2 << 20):
             yield batch.filter(pa.array(model.score(texts) >= ACCEPT))
 
-    return docs.mapInArrow(go, docs.schema)
+    return through_arrow(docs, go)
