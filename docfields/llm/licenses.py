@@ -16,7 +16,6 @@ repeated rows each keep their own row.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut
+from docfields.llm.base import cut, slices
 
 THRESHOLD = 0.6
 #: Names of license files.
 FILES = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
-#: Usual license notices.
-TEMPLATES = (
+#: Usual license notices, as they stand in headers.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,18 +44,75 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
-_TERM = re.compile(r"[a-z0-9]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
-
-
-def terms(text: str) -> list[str]:
-    return _TERM.findall(text.translate(_UPPER))
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+    "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+    "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Whole licence texts, as they stand in licence files.
+FILE_TEXTS = (
+    ("MIT", (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    )),
+    ("ISC", (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. " + _AS_IS
+    )),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _AS_IS),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", (
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission. " + _BSD_END
+    )),
+    ("Apache-2.0", (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    )),
+    ("GPL-3.0", (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU "
+        "General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+    )),
+    ("Unlicense", (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    )),
+)
+TEMPLATES = (*NOTICES, *FILE_TEXTS)
+
+#: ASCII letters in lower case and digits stay; all other bytes become blanks.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+
+
+def terms(text: str | bytes) -> list[bytes]:
+    return (text.encode() if isinstance(text, str) else text).translate(_FOLD).split()
 
 
 class Matcher:
     """Templates as vectors, given how many documents there are and hold each term."""
 
-    def __init__(self, templates: list[tuple[str, str]], documents: int, holding: dict[str, int], threshold: float = THRESHOLD):
+    def __init__(self, templates: list[tuple[str, str]], documents: int, holding: dict[bytes, int], threshold: float = THRESHOLD):
         self.documents, self.holding, self.threshold = documents, holding, threshold
         self.rare = math.log(1 + documents / 2)
         self.vectors, self.lengths = [], []
@@ -67,46 +123,51 @@ class Matcher:
                 self.vectors.append((name, {t: x / norm for t, x in v.items()}))
                 self.lengths.append(len(terms(text)))
         # Terms of little weight are left out while no template can be reached with them alone.
-        weak: set[str] = set()
+        weak: set[bytes] = set()
         left = [0.0] * len(self.vectors)
         for t in sorted({t for _, v in self.vectors for t in v}, key=lambda t: (max(v.get(t, 0) for _, v in self.vectors), t)):
             more = [x + v.get(t, 0) ** 2 for x, (_, v) in zip(left, self.vectors, strict=True)]
             if max(more) < (threshold * 0.999) ** 2:
                 weak.add(t)
                 left = more
-        self.strong = {t for _, v in self.vectors for t in v} - weak
+        self.known = {t for _, v in self.vectors for t in v}
+        self.strong = self.known - weak
 
-    def idf(self, term: str) -> float:
+    def idf(self, term: bytes) -> float:
         return math.log(1 + self.documents / (1 + self.holding[term])) if term in self.holding else self.rare
 
-    def vector(self, text: str) -> dict[str, float]:
-        return {t: n * self.idf(t) for t, n in Counter(terms(text)).items()}
+    def vector(self, text: str | list[bytes]) -> dict[bytes, float]:
+        return {t: n * self.idf(t) for t, n in Counter(terms(text) if isinstance(text, str) else text).items()}
 
-    def best(self, text: str) -> tuple[str | None, float]:
+    def _weighed(self, words: list[bytes], found: tuple[str | None, float]) -> tuple[str | None, float]:
+        """The better of ``found`` and the best template for a unit of text."""
+        if self.strong.isdisjoint(words):
+            return found
+        v = self.vector(words)
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        for name, t in self.vectors:
+            score = sum(x * v.get(k, 0.0) for k, x in t.items()) / norm
+            if score >= self.threshold and score > found[1] + 1e-12:
+                found = (name, score)
+        return found
+
+    def best(self, text: str | bytes) -> tuple[str | None, float]:
         """License and cosine of the best line, or (None, 0.0)."""
         found: tuple[str | None, float] = (None, 0.0)
-        if self.strong.isdisjoint(terms(text)):
-            return found
-        for line in text.split("\n"):
-            v = self.vector(line)
-            if self.strong.isdisjoint(v):
-                continue
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            for name, t in self.vectors:
-                score = sum(x * v.get(k, 0.0) for k, x in t.items()) / norm
-                if score >= self.threshold and score > found[1] + 1e-12:
-                    found = (name, score)
+        for line in (text.encode() if isinstance(text, str) else text).split(b"\n"):
+            found = self._weighed(terms(line), found)
         return found
 
-    def notice(self, text: str) -> tuple[str | None, float]:
+    def notice(self, text: str | bytes) -> tuple[str | None, float]:
         """License and cosine of the best line, whole text or window, or (None, 0.0)."""
         words = terms(text)
         if self.strong.isdisjoint(words):
             return None, 0.0
-        found = max(self.best(text), self.best(text.replace("\n", " ")), key=lambda x: x[1])
+        found = self._weighed(words, self.best(text))
         least = (self.threshold * 0.999) ** 2
+        places = [(i, w) for i, w in enumerate(words) if w in self.known]
         for (name, t), length in zip(self.vectors, self.lengths, strict=True):
-            hits = [i for i, w in enumerate(words) if w in t]
+            hits = [i for i, w in places if w in t]
             mass = [t[words[i]] ** 2 for i in hits]
             after, inside = 0, 0.0
             for k, i in enumerate(hits):
@@ -125,23 +186,22 @@ class Matcher:
         return found
 
 
-def counts(texts: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
+def counts(texts: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[bytes, int]]:
     """Documents in all, and those that hold each term of the templates: one number a term comes to the driver."""
     vocabulary = sorted({t for _, text in templates for t in terms(text)})
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = set(vocabulary), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen[""] += 1
-                if text:
-                    seen.update(known.intersection(terms(text)))
+        for _, raws in slices(batches, "text"):
+            seen[b""] += len(raws)
+            for raw in raws:
+                seen.update(known.intersection(terms(raw)))
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    rows = texts.select("text").mapInArrow(go, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    holding = {r["term"]: r["n"] for r in rows}
-    return holding.pop("", 0), {t: holding.get(t, 0) for t in vocabulary}
+    rows = texts.select("text").mapInArrow(go, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    holding = {bytes(r["term"]): r["n"] for r in rows}
+    return holding.pop(b"", 0), {t: holding.get(t, 0) for t in vocabulary}
 
 
 def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, license_file: Column | None = None) -> DataFrame:
@@ -155,8 +215,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, licen
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(chosen, documents, holding)
-        for batch in batches:
-            found = [matcher.notice(t or "") for t in batch.column("text").to_pylist()]
+        for batch, raws in slices(batches, "text"):
+            found = [matcher.notice(raw) for raw in raws]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("path"), pa.array([n for n, _ in found], pa.string()), pa.array([round(s, 9) for _, s in found], pa.float64())],
                 ["doc_id", "path", "own_license", "own_score"],
