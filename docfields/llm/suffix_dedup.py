@@ -10,8 +10,8 @@ into narrower ones, whose windows share more bytes, for the next pass.  In the l
 equal groups are exactly the repeated windows.
 
 Counts come from partial aggregates, and ranges find their counts by a join that Spark can split, so no group of
-equal ranges is gathered in one task.  Windows are compared by 64-bit hashes of what they share and of all they
-touch.
+equal ranges is gathered in one task.  Windows are compared by two 64-bit hashes, of what they share and of all they
+touch; texts are told apart by 128 bits and numbered.
 
 Texts are bytes (UTF-8; null counts as empty); equal texts are handled once, and one of at least ``LENGTH`` bytes
 that more than one row holds is removed whole; shorter texts stay whole; repeated ids each keep their own row.
@@ -88,13 +88,14 @@ def _texts(full: bool):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, sent = zstandard.ZstdCompressor(3), set()
         for batch, texts in slices(batches, "text"):
-            names = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts]
-            columns = {"doc_id": batch.column("doc_id"), "tid": pa.array(names, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64())}
+            names = [xxhash.xxh3_128_digest(t) for t in texts]
+            halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            columns = {"doc_id": batch.column("doc_id"), "t1": pa.array(halves[:, 0]), "t2": pa.array(halves[:, 1]), "n_bytes": pa.array([len(t) for t in texts], pa.int64())}
             if full:
                 blobs = []
                 for name, text in zip(names, texts, strict=True):
                     blobs.append(None if name in sent else press.compress(text))
-                    if len(sent) < 1 << 20:
+                    if len(sent) < 1 << 19:
                         sent.add(name)
                 columns["blob"] = pa.array(blobs, pa.binary())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -171,7 +172,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for tid, blob, rows_, spans in zip(*(batch.column(c).to_pylist() for c in ("tid", "blob", "copies", "spans")), strict=True):
+        for t1, t2, blob, rows_, spans in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "blob", "copies", "spans")), strict=True):
             text = press.decompress(blob)
             if rows_ > 1 and len(text) >= LENGTH:
                 cuts = [(0, len(text))]
@@ -187,23 +188,24 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.update(text[at:a])
                 at = b
             sha.update(text[at:])
-            rows.append((tid, sum(b - a for a, b in cuts), len(cuts), sha.hexdigest(), [a for a, _ in cuts], [b for _, b in cuts]))
+            rows.append((t1, t2, sum(b - a for a, b in cuts), len(cuts), sha.hexdigest(), [a for a, _ in cuts], [b for _, b in cuts]))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            names = ["tid", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
+            kinds = (*(pa.int64(),) * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            names = ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (bounds of the removed runs): one row for each row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    full = rows.mapInArrow(_texts(True), "doc_id long, tid long, n_bytes long, blob binary")
-    texts = cut(full.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.first("blob", ignorenulls=True).alias("blob")))
+    full = rows.mapInArrow(_texts(True), "doc_id long, t1 long, t2 long, n_bytes long, blob binary")
+    texts = full.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.first("blob", ignorenulls=True).alias("blob"))
+    texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))  # a number of its own for each text, as written
     spans = repeats(texts.select("tid", "blob")).groupBy("tid").agg(F.collect_list("held").alias("spans"))
-    done = texts.join(spans, "tid", "left").select("tid", "blob", "copies", "spans")
-    done = done.mapInArrow(_removed, "tid long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
-    light = rows.mapInArrow(_texts(False), "doc_id long, tid long, n_bytes long")
-    return light.join(done, "tid").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
+    done = texts.join(spans, "tid", "left").select("t1", "t2", "blob", "copies", "spans")
+    done = done.mapInArrow(_removed, "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    light = rows.mapInArrow(_texts(False), "doc_id long, t1 long, t2 long, n_bytes long")
+    return light.join(done, ["t1", "t2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")
 
 
 SQL = f"""
