@@ -4,7 +4,9 @@ Names of symbols are compared with their left neighbours' (deterministic coin to
 local maxima of the labels cut the sequence into phrases, whose names are the symbols of the next level.  What
 a phrase is depends only on a bounded neighbourhood, so equal substrings have equal interior phrases wherever
 they stand.  A fingerprint is the set of names of levels ``LEVELS`` and of the whole text, kept as its
-``SKETCH`` smallest hashes; likeness is the share that two sets have in common, estimated from those.
+``SKETCH`` smallest hashes; a text with fewer than ``FEW`` phrases of a level also has those of the level below, whose
+hashes are odd, all others even.  Likeness is the share that two sets have in common, estimated from the hashes; where
+only one of two texts has odd ones, they are left out.
 
 Null texts count as empty; an empty text's fingerprint is that of the empty string, so two empty texts are
 alike (1); repeated ids stand next to each other, ordered by a hash of their texts; null ids come last.
@@ -26,6 +28,8 @@ from docfields.llm.base import partitions, slices
 
 LEVELS = (3, 4)
 SKETCH = 128
+#: Phrases of a level that are too few to tell how like two texts are.
+FEW = 16
 #: Rounds of coin tossing after which labels of 64-bit names are below 8.
 ROUNDS = 4
 #: Bytes of text that are parsed together, and ranges of documents for each shuffle partition.
@@ -74,18 +78,23 @@ def _phrases(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
     """Ascending 32-bit hashes, ``SKETCH`` at most, for each text."""
-    found = [[_U(xxhash.xxh3_64_intdigest(t))] for t in texts]
+    if not texts:
+        return []
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     names = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    kept = [(np.array([f[0] for f in found], np.uint64), np.arange(len(texts)))] if texts else []
+    whole = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+    kept, below = [(whole & ~_U(1 << 32), np.arange(len(texts)))], None
     for level in range(1, max(LEVELS) + 1):
         if not len(names):
             break
         names, owner = _phrases(names, owner)
+        own = _mix(names + _U(level))
         if level in LEVELS:
-            kept.append((_mix(names + _U(level)), owner))
-    if not kept:
-        return []
+            kept.append((own & ~_U(1 << 32), owner))
+        if below is not None and level <= min(LEVELS):
+            few = np.bincount(owner, minlength=len(texts)) < FEW
+            kept.append((below[0][few[below[1]]] | _U(1 << 32), below[1][few[below[1]]]))
+        below = own, owner
     names, owner = (np.concatenate(x) for x in zip(*kept, strict=True))
     both = np.unique((owner.astype(np.uint64) << _U(32)) | (names >> _U(32)))
     owner = (both >> _U(32)).astype(np.int64)
@@ -96,6 +105,8 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard similarity of the sets behind two fingerprints."""
+    if (a & 1).any() != (b & 1).any():
+        a, b = a[a & 1 == 0], b[b & 1 == 0]
     union = np.union1d(a, b)
     if max(len(a), len(b)) >= SKETCH:  # beyond its sketch a set is unknown
         union = union[:SKETCH]

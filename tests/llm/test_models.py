@@ -265,6 +265,36 @@ def test_fingerprints(documents):
     assert fingerprints.compare(documents(["only one"])).first()["near_next"] == 1.0
 
 
+def test_likeness_against_whole_sets(monkeypatch):
+    """Estimates from sketches against the sets that they stand for; short texts whose ends change are not all unlike."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pairs = []
+    for n in (400, 2000):
+        for share in (0.2, 0.5, 0.9):
+            a = text(n)
+            pairs.append((a, a[: int(len(a) * share)] + text(n)[int(len(a) * share) :]))
+    short = [t for t in (text(rng.randint(5, 12)) for _ in range(60))]
+    pairs += [(t, t[: len(t) - len(t) // 3] + text(6)[: len(t) // 3]) for t in short] + [(t, text(9)) for t in short]
+    flat = [t.encode() for p in pairs for t in p]
+    cut = fingerprints.fingerprints(flat)
+    assert max(map(len, cut)) == fingerprints.SKETCH
+    monkeypatch.setattr(fingerprints, "SKETCH", 1 << 30)
+    whole = fingerprints.fingerprints(flat)
+    for i in range(len(pairs)):
+        a, b = (set(x.tolist()) for x in whole[2 * i : 2 * i + 2])
+        if any(x & 1 for x in a) != any(x & 1 for x in b):
+            a, b = {x for x in a if not x & 1}, {x for x in b if not x & 1}
+        exact = len(a & b) / len(a | b)
+        assert abs(fingerprints.likeness(*whole[2 * i : 2 * i + 2]) - exact) < 1e-12
+        monkeypatch.setattr(fingerprints, "SKETCH", 128)
+        assert abs(fingerprints.likeness(*cut[2 * i : 2 * i + 2]) - exact) < 0.18
+        monkeypatch.setattr(fingerprints, "SKETCH", 1 << 30)
+    near = [fingerprints.likeness(*whole[2 * i : 2 * i + 2]) for i in range(6, len(pairs))]
+    assert sum(x > 0.15 for x in near[:60]) >= 54 and sorted(near[60:])[54] < 0.2
+
+
 def test_neighbouring_labels_differ():
     rng = np.random.default_rng(1)
     names = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
