@@ -28,6 +28,9 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Mean log-likelihood ratio a character pair from which a token counts as random.
 THRESHOLD = 0.25
 
+#: Matches whose positions are summed together.
+TOGETHER = 128
+
 #: Symbols of the models: digits, both cases of letters, and one for the other characters.
 SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WIDE = len(SYMBOLS) + 1
@@ -104,14 +107,14 @@ def ratio(token: Column, model: list[float]) -> Column:
 def _found(text: Column, pattern: str, order: int, keep) -> Column:
     """array<struct<start, ord, end, what>> of the kept matches of ``pattern``, by position.
 
-    What lies between the matches comes from ``split``, so the lengths of both, summed, give the positions.
+    What lies between the matches comes from ``split``, so the lengths of both, summed, give the positions: first within
+    blocks of ``TOGETHER`` matches, then for the blocks, so that the work follows the number of matches.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,what:string>>)").alias("out")
-    )
+    none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,what:string>>)")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["gap"])
@@ -119,8 +122,14 @@ def _found(text: Column, pattern: str, order: int, keep) -> Column:
         one = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), x["hit"].alias("what"))
         return F.struct(end.alias("at"), F.when(keep(x["hit"]), F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,what:string>>)")
-    return F.when(F.size(hits) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(none)
+    def after(acc, block):
+        moved = F.transform(block["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), x["ord"].alias("ord"), (x["end"] + acc["at"]).alias("end"), x["what"].alias("what")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    first = F.sequence(F.lit(1), F.size(both), F.lit(TOGETHER))
+    blocks = F.transform(first, lambda i: F.aggregate(F.slice(both, i, TOGETHER), start, step))
+    whole = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<array<struct<start:bigint,ord:int,end:bigint,what:string>>>)").alias("out"))
+    return F.when(F.size(hits) > 0, F.flatten(F.aggregate(blocks, whole, after, lambda acc: acc["out"]))).otherwise(none)
 
 
 def _digest(found: Column) -> Column:

@@ -164,3 +164,32 @@ def test_license_bound_is_exact():
         norm = sum(x * x for x in v.values()) ** 0.5
         best = max(sum(x * v.get(k, 0.0) for k, x in t.items()) / norm for _, t in m.vectors)
         assert (m.best(text)[0] is not None) == (best >= m.threshold) and (best < m.threshold or abs(m.best(text)[1] - best) < 1e-9)
+
+
+def test_markov_spans_against_a_search_by_hand(documents, spark):
+    """Every run of 16 or more characters whose pairs, summed by hand, are likelier random; many matches in one text too."""
+    model = secret_scan.train(secret_scan.samples(spark))
+    rng = random.Random(7)
+    runs = ["".join(rng.choice(string.ascii_letters + string.digits + "+/_-") for _ in range(rng.randint(10, 40))) for _ in range(400)]
+    runs += ["maximum_retry_count_for", "0123456789abcdef0123", "AKIA" + "Q7" * 9]
+    texts = [*HARD, " é ".join(runs), " ".join("deadbeefdeadbeef" + str(i) for i in range(300)), "password=" + "a1B2" * 5]
+    at = {c: i for i, c in enumerate(secret_scan.SYMBOLS)}
+    number = lambda c: at.get(c, secret_scan.WIDE - 1)
+    got = {r["doc_id"]: r for r in secret_scan.scan(documents(texts), model).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t or ""):
+            ratio = sum(model[number(a) * secret_scan.WIDE + number(b)] for a, b in zip(m[0], m[0][1:])) / (len(m[0]) - 1)
+            if abs(ratio - secret_scan.THRESHOLD) > 1e-9 and ratio > secret_scan.THRESHOLD:
+                want.append(f"markov:{m.start()}:{m.end()}")
+        found = [s for s in got[i]["spans"].split(",") if s.startswith("markov")]
+        assert found == want and got[i]["n_markov"] == len(want), t
+
+
+def test_whole_licence_files(spark):
+    files = [(n, f"Copyright (c) 2020 Some Body\n\n{t}\n") for n, t in licenses.FILE_TEXTS]
+    wrapped = [(n, "\n".join(" * " + t[i : i + 60] for i in range(0, len(t), 60))) for n, t in files if n in ("MIT", "ISC")]
+    frame = spark.createDataFrame([(i, f"p{i}/LICENSE", t) for i, (_, t) in enumerate(files + wrapped)] + [(100 + i, None, f"plain words of the and {i}") for i in range(60)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in licenses.scan(frame).collect()}
+    assert [got[i][0] for i in range(len(files))] == [n for n, _ in files] and all(got[i][1] > 0.9 for i in range(len(files)))
+    assert got[len(files)][0] == "MIT"
