@@ -51,7 +51,7 @@ def valid_date(year: Column, month: Column, day: Column) -> Column:
     return F.coalesce(year.between(1900, 2100) & month.between(1, 12) & (day >= 1) & (day <= last), F.lit(False))
 
 
-#: Year, month and day of each form, in the order in which they are tried.
+#: Year, month and day of each form, in the order in which they are tried.
 DATE_FORMS = (r"(\d{4})年(\d{1,2})月(\d{1,2})日", r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", r"(?<![0-9A-Za-z_])(\d{4})(\d{2})(\d{2})(?![0-9A-Za-z_])")
 
 
@@ -86,6 +86,7 @@ def id_corrected(c: Column) -> Column:
         upper = F.regexp_replace(v, r"(?s)\A(.{17})x", "$1X")
         return F.regexp_replace(upper, r"x\z", "X")
 
+    # Letters that stand for misread digits.
     return of(F.translate(c, "OoIilLZzB×", "001111228X"))
 
 
@@ -140,4 +141,4 @@ def masked_id(c: Column) -> Column:
 
 
 def valid_utf8(c: Column) -> Column:
-    return F.is_valid_utf8(c)
+    return F.is_valid_utf8(c.cast("string"))

@@ -20,7 +20,7 @@ from docfields.functions import geometry as g
 from docfields.functions import scalars as s
 from docfields.operators import extract, imaging, keywords, relational, validate
 from docfields.plans import extraction, pipeline, result
-from docfields.sources import engines, templates
+from docfields.sources import engines, images, recorded, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
@@ -186,7 +186,9 @@ def _register_scalars() -> None:
     codes = " ".join(f"when {k} then '{v}'" for k, v in schema.ERRORS.items())
     code = f"select p_partkey as k, cast(case p_partkey % {len(schema.ERRORS) + 1} {' '.join(f'when {i} then {c}' for i, c in enumerate(schema.ERRORS))} else 7 end as int) as code from part"
     _scalar("error_text", code, {"text": (lambda: schema.error_text(F.col("code")), f"case code {codes} else 'Unrecognized error code' end")})
-    _scalar("utf8_valid", "select doc_id as k, text from documents", {"valid": (lambda: s.valid_utf8(F.col("text")), "true")})
+    # A lone lead byte, a lone continuation byte or an overlong form follows every text but each fourth.
+    broken = lambda: F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.unhex(F.element_at(F.array(*map(F.lit, ("", "C3", "80", "C0AF"))), (F.col("k") % 4 + 1).cast("int"))))
+    _scalar("utf8_valid", "select doc_id as k, text from documents", {"valid": (lambda: s.valid_utf8(broken()), "k % 4 = 0")})
 
 
 _register_scalars()
@@ -591,11 +593,39 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.as_json(pipeline.from_boxes(_report_docs(spark, sf_dir), templates.from_json(spark, [_REPORT_TEMPLATE]), as_of=F.lit("2026-07-20")))
 
 
-@_query("select p_partkey as doc_id, 0 as error_code, 27 as n_boxes, 2480 as image_width from part")
+_SAID = ", ".join(f"'{b[0]}'" for b in recorded.SAMPLE)
+
+
+@_query(
+    f"""select p_partkey as doc_id, case when p_partkey % 5 = 0 then 2003 else 0 end as error_code, case when p_partkey % 5 > 0 then {len(recorded.SAMPLE)} else -1 end as n_boxes,
+    case when p_partkey % 5 > 0 then {recorded.SAMPLE_SIZE[0]} end as image_width, case when p_partkey % 5 > 0 then [{_SAID}][p_partkey % {len(recorded.SAMPLE)} + 1] end as text from part"""
+)
 def mock_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded boxes for every image but those that failed before; a box of each is shown."""
     image = F.expr("named_struct('height', 1, 'width', 1, 'n_channels', 1, 'data', cast('x' as binary))")
-    docs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("error_code"), image.alias("image"))
-    return engines.recognised(docs, Engine()).select("doc_id", "error_code", F.size("boxes").alias("n_boxes"), "image_width")
+    code = F.when(F.col("p_partkey") % 5 == 0, 2003).otherwise(0)
+    docs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), code.alias("error_code"), image.alias("image"))
+    nth = (F.col("doc_id") % len(recorded.SAMPLE)).cast("int")
+    return engines.recognised(docs, Engine()).select("doc_id", "error_code", F.coalesce(F.size("boxes"), F.lit(-1)).alias("n_boxes"), "image_width", F.get("boxes", nth)["text"].alias("text"))
+
+
+#: A bitmap of 3 x 2 pixels whose gray levels follow the key, in colours of a PNM file.
+_GRAYS = "[k % 251, k * 7 % 251, k * 11 % 251, k * 13 % 251, k * 17 % 251, k * 19 % 251]"
+
+
+@_query(
+    f"""select k, case when k % 7 = 0 then 9001 when k % 7 = 1 then 2003 else 0 end as error_code, case when k % 7 > 1 then 3 end as width, case when k % 7 > 1 then 2 end as height,
+    case when k % 7 > 1 then list_transform({_GRAYS}, lambda g: lpad(lower(to_hex(g)), 2, '0') || lpad(lower(to_hex(g)), 2, '0') || lpad(lower(to_hex(g)), 2, '0')).array_to_string('') end as data
+    from (select p_partkey as k from part) as t"""
+)
+def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded images from bytes: none, broken ones and gray bitmaps."""
+    k = F.col("p_partkey")
+    grays = F.concat_ws("", *(F.lpad(F.hex(k * n % 251), 2, "0") for n in (1, 7, 11, 13, 17, 19)))
+    whole = F.concat(F.lit("P5 3 2 255\n").cast("binary"), F.unhex(grays))
+    content = F.when(k % 7 == 0, F.lit("").cast("binary")).when(k % 7 == 1, F.substring(whole, 1, 14)).otherwise(whole)
+    rows = images.decoded(spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("doc_id"), content.alias("content")))
+    return rows.select(F.col("doc_id").cast("long").alias("k"), "error_code", "image.width", "image.height", F.lower(F.hex("image.data")).alias("data"))
 
 
 def queries() -> dict[str, Query]:

@@ -23,13 +23,13 @@ def _defaults(boxes: Column) -> Column:
     return F.transform(F.coalesce(boxes, F.expr(f"cast(array() as {schema.BOXES})")), one)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the file's path), image_width, image_height, boxes of JSON files, one document each; missing keys get their defaults.
+#: How files are read, in batches and in streams alike.
+KIND, OPTIONS = f"image_width int, image_height int, boxes {schema.BOXES}, _bad string", {"multiLine": True, "columnNameOfCorruptRecord": "_bad"}
 
-    Files that hold no JSON object are left out.
-    """
-    kind = f"image_width int, image_height int, boxes {schema.BOXES}, _bad string"
-    rows = spark.read.schema(kind).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("doc_id", F.input_file_name())
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """doc_id, image_width, image_height, boxes of what was read as ``KIND``."""
+    rows = rows.withColumn("doc_id", F.input_file_name())
     # The second condition always holds: a query of the error column alone is refused.
     rows = rows.where("_bad is null and coalesce(size(boxes), 0) >= -1")
     return rows.select(
@@ -40,6 +40,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (the file's path), image_width, image_height, boxes of JSON files, one document each; missing keys get their defaults.
+
+    Files that hold no JSON object are left out.
+    """
+    return parsed(spark.read.schema(KIND).options(**OPTIONS).json(path))
+
+
 #: The built-in sample's texts with left, top, right and bottom in pixels, and a confidence.
 SAMPLE_SIZE = (2480, 3508)
 SAMPLE = (

@@ -3,23 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docfields import schema
 from docfields.config import Config
 from docfields.plans import pipeline, result
-from docfields.sources.recorded import _defaults
+from docfields.sources import recorded as source
 
 
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
-    """Recorded results of the JSON files of a folder, as a stream."""
-    kind = f"image_width int, image_height int, boxes {schema.BOXES}"
-    rows = spark.readStream.schema(kind).option("multiLine", True).json(folder)
-    return rows.select(
-        F.input_file_name().alias("doc_id"), F.coalesce("image_width", F.lit(2480)).alias("image_width"), F.coalesce("image_height", F.lit(3508)).alias("image_height"),
-        _defaults(F.col("boxes")).alias("boxes"),
-    )
+    """Recorded results of the JSON files of a folder, as a stream; files that hold no JSON object are left out, as in a batch."""
+    return source.parsed(spark.readStream.schema(source.KIND).options(**source.OPTIONS).json(folder))
 
 
 def results(rows: DataFrame, templates: DataFrame, config: Config = Config(), as_of: Column | None = None) -> DataFrame:

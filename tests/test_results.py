@@ -12,6 +12,7 @@ from docfields.plans.service import Service
 from docfields.sources import engines, images, recorded, templates
 from docfields.streaming import files
 
+#: Labels and headings of the built-in sample document, which the rules must find.
 FIELDS = {
     "name": {"anchors": ["姓名"], "region": [0, 0, 1000, 400]}, "gender": {"anchors": ["性别"], "data_type": "gender", "max_distance": 200},
     "age": {"anchors": ["年龄"], "data_type": "age", "max_distance": 200}, "birth_date": {"anchors": ["出生日期"], "data_type": "date"},
