@@ -24,21 +24,14 @@ def strip(c: Column) -> Column:
 
 def gender(c: Column) -> Column:
     """男, 女 or empty."""
-
-    def of(v: Column) -> Column:
-        return (
-            F.when(v.contains("男") | v.isin("1") | ascii_lower(v).isin("male", "m") & ~v.contains("女"), "男")
-            .when(v.contains("女") | v.isin("0", "2") | ascii_lower(v).isin("female", "f"), "女")
-            .otherwise("")
-        )
-
-    return F.coalesce(let(strip(c), of), F.lit(""))
+    v = strip(c)
+    return F.when(v.rlike(r"男|\A(?:1|(?i:male|m))\z"), "男").when(v.rlike(r"女|\A(?:[02]|(?i:female|f))\z"), "女").otherwise("")
 
 
 def age(c: Column) -> Column:
     """The first one to three digits after the start or anything but a digit or a minus; -1 where there are none or more than 150."""
-    found = F.regexp_extract(strip(c), r"(?:^|[^-\d])(\d{1,3})", 1).try_cast("int")
-    return let(found, lambda n: F.when(reasonable_age(n), n).otherwise(F.lit(-1)))
+    found = F.regexp_extract(strip(c), r"(?:^|[^-\d])(\d{1,3})", 1)
+    return F.coalesce(F.regexp_extract(found, r"\A(?:0?\d{1,2}|1[0-4]\d|150)\z", 0).try_cast("int"), F.lit(-1))
 
 
 def reasonable_age(years: Column) -> Column:
@@ -57,17 +50,20 @@ DATE_FORMS = (r"(\d{4})年(\d{1,2})月(\d{1,2})日", r"(\d{4})[-/.](\d{1,2})[-/.
 
 def date(c: Column) -> Column:
     """``YYYY-MM-DD`` of the first form whose first match is a calendar date; null where there is none."""
+    v = F.translate(c, " \t\n\x0b\f\r", "")
 
-    def of(form: str, v: Column) -> Column:
-        part = F.struct(*(F.regexp_extract(v, form, i).try_cast("int").alias(n) for i, n in ((1, "y"), (2, "m"), (3, "d"))))
-        return let(part, lambda p: F.when(valid_date(p["y"], p["m"], p["d"]), F.format_string("%d-%02d-%02d", p["y"], p["m"], p["d"])))
+    def of(form: str) -> Column:
+        # The match with dashes, empty outside 1900 to 2100; the cast takes calendar dates only.  One chain, so nothing is worked out twice.
+        dashed = F.regexp_replace(F.translate(F.regexp_extract(v, form, 0), "年月/.日", "----"), r"\A(\d{4})(\d\d)(\d\d)\z", "$1-$2-$3")
+        return F.regexp_extract(dashed, r"\A(?:19\d\d|20\d\d|2100)-\d{1,2}-\d{1,2}", 0).try_cast("date")
 
-    return let(F.regexp_replace(c, _BLANK, ""), lambda v: F.coalesce(*(of(form, v) for form in DATE_FORMS)))
+    return F.coalesce(*map(of, DATE_FORMS)).cast("string")
 
 
 def date_result(c: Column) -> Column:
     """struct<normalized, valid, raw>."""
-    return let(date(c), lambda found: F.struct(F.coalesce(found, F.lit("")).alias("normalized"), found.isNotNull().alias("valid"), c.alias("raw")))
+    found = date(c)
+    return F.struct(F.coalesce(found, F.lit("")).alias("normalized"), found.isNotNull().alias("valid"), c.alias("raw"))
 
 
 def age_at(birth: Column, as_of: Column) -> Column:

@@ -70,12 +70,10 @@ def by_anchor(boxes: Column, rule: Column) -> Column:
     down = rule["search_direction"] == "below"
 
     def ways(a: Column) -> Column:
-        # Each way is worked out once, and only if it is the first or the kind calls for it.
-        first_or = lambda first, kind, way: F.when(first | (rule["extraction_type"] == kind), way)
-        both = F.struct(
-            first_or(~down, "anchor_below", _by_anchor(boxes, rule, a, False)).alias("right"), first_or(down, "anchor_right", _by_anchor(boxes, rule, a, True)).alias("below")
-        )
-        return let(both, lambda w: F.when(down, F.coalesce(w["below"], w["right"])).otherwise(F.coalesce(w["right"], w["below"])))
+        # The other way is worked out only if the first finds nothing and the kind calls for it.
+        to_right, to_below = _by_anchor(boxes, rule, a, False), _by_anchor(boxes, rule, a, True)
+        kind = rule["extraction_type"]
+        return F.when(down, F.coalesce(to_below, F.when(kind == "anchor_below", to_right))).otherwise(F.coalesce(to_right, F.when(kind == "anchor_right", to_below)))
 
     return let(anchor(boxes, rule["anchors"]), lambda a: F.when(a.isNotNull(), ways(a)))
 

@@ -1,7 +1,7 @@
 """Classification by keywords and the choice of a template.
 
-Keyword lists and templates are reference data: the fixed lists become literals, and templates are joined as a
-broadcast only after a check of how many there are.
+Keyword lists and templates are reference data: the fixed lists become literals, and templates go to the executors
+in arrays of bounded length.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ KEYWORDS = {
 }
 #: Points for each hospital, title, required and optional keyword that is there.
 POINTS = (10, 8, 5, 2)
-#: Templates up to which they are sent to every executor.
-BROADCAST_TEMPLATES = 10_000
+#: Templates in one array; every array is broadcast by itself.
+CHUNK = 10_000
 
 
 def keyword_hits(text: Column, keywords: Column) -> Column:
@@ -55,29 +55,26 @@ def score(text: Column, template: Column) -> Column:
     )
 
 
-def matched(docs: DataFrame, templates: DataFrame, text: Column, key: str = "doc_id") -> DataFrame:
+def matched(docs: DataFrame, templates: DataFrame, text: Column) -> DataFrame:
     """``docs`` with ``match`` (struct<score, template>, null where none fits) and ``templates_loaded``.
 
     A template fits if all its required keywords are there and it has points; the most points win, of equal ones
-    the first loaded (``load_order``).  A few templates go to the executors as one array, so a document meets them
-    where it is; more of them are joined in blocks and reduced by ``key``, which must then name a document.
+    the first loaded (``load_order``).  Templates are taken in arrays of ``CHUNK``, one broadcast after the other, and
+    each row keeps its best so far: rows meet any number of templates where they are, need no key and are not
+    shuffled.  A null text meets none.
     """
-    ranked = templates.withColumn("load_order", F.row_number().over(Window.orderBy("load_order")))  # one row a template
-    packed = ranked.select("load_order", F.struct(*(c for c in templates.columns if c != "load_order")).alias("template"))
-    n = packed.count()
-    if n <= BROADCAST_TEMPLATES:
-        held = packed.agg(F.array_sort(F.collect_list(F.struct("load_order", "template"))).alias("_templates"))
-        tried = F.transform("_templates", lambda t: F.struct(score(F.col("_text"), t["template"]).alias("s"), t["load_order"].alias("o"), t["template"].alias("t")))
+    held = F.struct(*(c for c in templates.columns if c != "load_order"))
+    ranked = templates.select(F.row_number().over(Window.orderBy("load_order")).alias("n"), held.alias("template"))
+    n = ranked.count()
+    out = docs.withColumn("_text", text)
+    for start in range(0, max(n, 1), CHUNK):
+        some = ranked.where(F.col("n").between(start + 1, start + CHUNK))
+        array = some.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "template"))), lambda x: x["template"]).alias("_templates"))
+        tried = F.transform("_templates", lambda t, i: F.struct(score(F.col("_text"), t).alias("s"), (-i).alias("before")))
         fit = F.filter(tried, lambda x: x["s"]["complete"] & (x["s"]["score"] > 0))
-        best = F.array_max(F.transform(fit, lambda x: F.struct(x["s"]["score"].alias("score"), (-x["o"]).alias("before"))))
-        winner = F.get(F.filter(fit, lambda x: (x["s"]["score"] == F.col("_best.score")) & (-x["o"] == F.col("_best.before"))), F.lit(0))
-        out = docs.withColumn("_text", text).crossJoin(F.broadcast(held)).withColumn("_best", best)
-        found = F.when(F.col("_best").isNotNull(), F.struct(F.col("_best.score").alias("score"), winner["t"].alias("template")))
-        return out.withColumn("match", found).withColumn("templates_loaded", F.lit(n)).drop("_text", "_templates", "_best")
-    pairs = docs.select(key, text.alias("_text")).join(packed, F.lit(True)).withColumn("_s", score(F.col("_text"), F.col("template")))
-    best = (
-        pairs.where("_s.complete and _s.score > 0")
-        .groupBy(key)
-        .agg(F.max_by(F.struct(F.col("_s.score").alias("score"), "template"), F.struct("_s.score", -F.col("load_order"))).alias("match"))
-    )
-    return docs.join(best, key, "left").withColumn("templates_loaded", F.lit(n))
+        best = F.array_max(F.transform(fit, lambda x: F.struct(x["s"]["score"].alias("score"), x["before"].alias("before"))))
+        out = out.crossJoin(F.broadcast(array)).withColumn("_best", best)
+        better = F.col("_best").isNotNull() if start == 0 else F.col("_best.score") > F.coalesce("match.score", F.lit(0))
+        found = F.when(better, F.struct(F.col("_best.score").alias("score"), F.get("_templates", -F.col("_best.before")).alias("template")))
+        out = out.withColumn("match", found if start == 0 else found.otherwise(F.col("match"))).drop("_templates", "_best")
+    return out.withColumn("templates_loaded", F.lit(n)).drop("_text")

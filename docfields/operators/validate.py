@@ -17,16 +17,19 @@ def validated(field: Column, data_type: Column, masked: bool = False) -> Column:
 
     def typed(raw: Column, value: Column, n: Column) -> Column:
         def out(new: Column, old: Column, status: Column | str, warning: Column | None = None) -> Column:
-            parts = (new.alias("value"), old.alias("raw"), (F.lit(status) if isinstance(status, str) else status).alias("status"))
-            return F.struct(*parts, (F.lit(None).cast("string") if warning is None else warning).alias("warning"))
+            changed = F.struct(
+                new.alias("value"), old.alias("raw_value"), field["confidence"].alias("confidence"), field["source_bbox"].alias("source_bbox"),
+                field["extraction_method"].alias("extraction_method"), (F.lit(status) if isinstance(status, str) else status).alias("validation_status"),
+            )
+            return F.struct(changed.alias("field"), (F.lit(None).cast("string") if warning is None else warning).alias("warning"))
 
         quoted = lambda what, c: F.concat(F.lit(f"{what}: '"), c, F.lit("'"))
         return (
             F.when(raw.isNull() | (n["text"] == ""), out(n["text"], raw, n["status"]))
             .when(n["gender"] != "", out(n["gender"], value, "valid"))
             .when(n["gender"] == "", out(value, raw, "uncertain", quoted("Gender value could not be normalized", raw)))
-            .when(n["date"]["valid"], out(n["date"]["normalized"], value, "valid"))
-            .when(~n["date"]["valid"], out(value, raw, "uncertain", quoted("Date could not be normalized", value)))
+            .when(n["date"] != "", out(n["date"], value, "valid"))
+            .when(n["date"] == "", out(value, raw, "uncertain", quoted("Date could not be normalized", value)))
             .when(n["age"] >= 0, out(n["age"].cast("string"), value, "valid"))
             .when(n["age"] < 0, out(value, raw, "uncertain", quoted("Age could not be parsed", value)))
             .when(n["number"]["checksum_valid"], out(n["number"]["cleaned_number"], value, "valid"))
@@ -40,18 +43,11 @@ def validated(field: Column, data_type: Column, masked: bool = False) -> Column:
         only = lambda kind, c: F.when(data_type == kind, c).alias(kind.removeprefix("id_"))
         own = F.struct(
             F.coalesce(field["value"], F.lit("")).alias("text"), field["validation_status"].alias("status"), only("gender", s.gender(value)),
-            only("date", s.date_result(value)), only("age", s.age(value)), only("id_number", s.id_result(value)),
+            only("date", F.coalesce(s.date(value), F.lit(""))), only("age", s.age(value)), only("id_number", s.id_result(value)),
         )
         return let(own, lambda n: typed(F.coalesce(field["raw_value"], F.lit("")), value, n))
 
-    def put(x: Column) -> Column:
-        changed = F.struct(
-            x["value"].alias("value"), x["raw"].alias("raw_value"), field["confidence"].alias("confidence"), field["source_bbox"].alias("source_bbox"),
-            field["extraction_method"].alias("extraction_method"), x["status"].alias("validation_status"),
-        )
-        return F.struct(changed.alias("field"), x["warning"].alias("warning"))
-
-    return let(let(s.strip(F.coalesce(field["value"], F.lit(""))), judged), put)
+    return let(s.strip(F.coalesce(field["value"], F.lit(""))), judged)
 
 
 def conflicts(fields: Column, as_of: Column) -> Column:

@@ -23,14 +23,17 @@ def fields_of(docs: DataFrame, rules: Column, as_of: Column, masked: bool = Fals
     placed = docs.withColumn("_placed", extract.placed(F.col("boxes")))
     found = placed.withColumn("_found", F.transform(F.coalesce(rules, F.array().cast(f"array<struct<name:string,rule:{schema.RULE}>>")), lambda r: _rule_result(F.col("_placed"), r, masked)))
 
+    def judged(x: Column) -> Column:
+        # A value of its own in the next step, so that it is worked out once however many parts are read.
+        return F.struct(x["name"].alias("name"), x["data_type"].alias("data_type"), F.when(x["found"].isNotNull(), validate.validated(x["found"], x["data_type"], masked)).alias("v"))
+
     def checked(x: Column) -> Column:
-        v = validate.validated(x["found"], x["data_type"], masked)
         missing = F.when(x["data_type"] != "text", F.concat(F.lit("Field '"), x["name"], F.lit("' could not be extracted")))
         return F.struct(
-            x["name"].alias("name"), F.when(x["found"].isNotNull(), v["field"]).alias("field"), F.when(x["found"].isNull(), missing).otherwise(v["warning"]).alias("warning")
+            x["name"].alias("name"), x["v"]["field"].alias("field"), F.when(x["v"].isNull(), missing).otherwise(x["v"]["warning"]).alias("warning")
         )
 
-    done = found.withColumn("_checked", F.transform("_found", checked))
+    done = found.withColumn("_checked", F.transform(F.transform("_found", judged), checked))
     known = F.filter("_checked", lambda x: x["field"].isNotNull() & x["name"].isin(*schema.PATIENT, *schema.EXAMINATION))
     out = done.withColumn("fields", F.map_from_entries(F.transform(known, lambda x: F.struct(x["name"], x["field"]))))
     own = F.filter(F.transform("_checked", lambda x: x["warning"]), lambda w: w.isNotNull())

@@ -9,30 +9,31 @@ from docfields import schema
 from docfields.functions.scalars import masked_id
 
 
-def serialised(field: Column, masked: bool = False, number: bool = False) -> Column:
-    """Struct with the keys of a field; null where value and raw value are both empty.
+def serialised(field: Column, number: Column, masked: bool = False) -> Column:
+    """Struct with the keys of a field; ``number`` tells whether it is an identity number.
 
     The confidence is a float shown as a double.  A masked identity number always shows its raw value, masked too,
     and whether it is valid.
     """
     value, raw = F.coalesce(field["value"], F.lit("")), F.coalesce(field["raw_value"], F.lit(""))
-    hide = masked and number
-    hidden = value != ""
     shown = F.when((raw != "") & (raw != value), raw)
-    parts = {
-        "checksum_valid": F.when(hidden, field["validation_status"] == "valid") if hide else None,
-        "confidence": field["confidence"].cast("double"),
-        "extraction_method": F.when(field["extraction_method"] != "default", field["extraction_method"]),
-        "raw_value": F.when(hidden & (raw != ""), masked_id(raw)).otherwise(shown) if hide else shown,
-        "validation_status": field["validation_status"],
-        "value": F.when(hidden, masked_id(value)).otherwise(value) if hide else value,
-    }
-    return F.when((value != "") | (raw != ""), F.struct(*(c.alias(k) for k, c in parts.items() if c is not None)))
+    hidden = number & (value != "") if masked else F.lit(False)
+    return F.struct(
+        F.when(hidden, field["validation_status"] == "valid").alias("checksum_valid"),
+        field["confidence"].cast("double").alias("confidence"),
+        F.when(field["extraction_method"] != "default", field["extraction_method"]).alias("extraction_method"),
+        (F.when(hidden & (raw != ""), masked_id(raw)).otherwise(shown) if masked else shown).alias("raw_value"),
+        field["validation_status"].alias("validation_status"),
+        (F.when(hidden, masked_id(value)).otherwise(value) if masked else value).alias("value"),
+    )
 
 
 def _section(fields: Column, names: tuple[str, ...], masked: bool) -> Column:
-    parts = {n: serialised(F.try_element_at(fields, F.lit(n)), masked, n == "id_number") for n in sorted(names)}
-    return F.when(F.coalesce(*(c.cast("string") for c in parts.values())).isNotNull(), F.struct(*(c.alias(n) for n, c in parts.items())))
+    """Map of the fields of these names that have a value or a raw value, in the order of their names; null where there are none."""
+    told = lambda f: F.concat(F.coalesce(f["value"], F.lit("")), F.coalesce(f["raw_value"], F.lit(""))) != ""
+    shown = F.filter(F.map_entries(fields), lambda e: e["key"].isin(*names) & told(e["value"]))
+    entry = lambda e: F.struct(e["key"].alias("key"), serialised(e["value"], e["key"] == "id_number", masked).alias("value"))
+    return F.map_from_entries(F.nullif(F.array_sort(F.transform(shown, entry)), F.array()))
 
 
 def document(masked: bool = True) -> Column:

@@ -1,10 +1,11 @@
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from docfields import schema
 from docfields.functions import geometry as g
-from docfields.operators import extract, relational
+from docfields.operators import extract, keywords, relational
 from docfields.plans import extraction
 from docfields.sources import recorded, templates
 
@@ -94,6 +95,31 @@ def test_no_template(spark):
     assert (row["type"], row["template_id"], row["warnings"]) == ("ultrasound_report", "", ["No template matched. Document type: ultrasound_report", "Templates loaded: 0, none matched the report"])
 
 
+def test_arrays_of_templates(spark, monkeypatch):
+    """Any length of the arrays gives the same matches; rows need no key, and of equal templates the first loaded wins."""
+    rng = random.Random(3)
+    known = [
+        {"template_id": f"t{i:02}", "required_keywords": rng.sample("abcdef", rng.randrange(3)), "title_keywords": rng.sample("abcdef", 2), "optional_keywords": rng.sample("abcdef", rng.randrange(3))}
+        for i in range(23)
+    ]
+    texts = [None, "", "zz", *("".join(rng.sample("abcdefgh", rng.randrange(1, 8))) for _ in range(60)), "abcdef", "abcdef"]
+    rows = spark.createDataFrame([(None if i % 5 == 0 else i % 7, t) for i, t in enumerate(texts)], "doc_id int, t string").coalesce(1)
+    loaded = templates.from_json(spark, [json.dumps(x) for x in known])
+
+    def points(t, x):
+        hits = [sum(k in t for k in x[f"{kind}_keywords"]) for kind in ("title", "required", "optional")]
+        return sum(n * p for n, p in zip(hits, keywords.POINTS[1:], strict=True)) if hits[1] == len(x["required_keywords"]) else 0
+
+    def best(t):
+        score, back = max((points(t, x), -i) for i, x in enumerate(known)) if t is not None else (0, 0)
+        return (t, score, known[-back]["template_id"]) if score > 0 else (t, None, None)
+
+    for chunk in (3, 23, 100):
+        monkeypatch.setattr(keywords, "CHUNK", chunk)
+        got = keywords.matched(rows, loaded, F.col("t")).select("t", "match.score", "match.template.template_id", "templates_loaded").collect()
+        assert [tuple(r)[:3] for r in got] == [best(t) for t in texts] and {r[3] for r in got} == {23}
+
+
 def test_columns_and_joins_agree(spark):
     rng = random.Random(7)
     pages = [[rect(rng.choice(["ab", "cd", "ef", "gh"]), rng.randrange(0, 900, 10), rng.randrange(0, 900, 10), 40, 20) for _ in range(25)] for _ in range(40)]
