@@ -587,7 +587,33 @@ def extract_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "type", "score", value("name"), value("gender"), value("age"))
 
 
-@_query()
+def _field_text(name: str, value: str, raw: str, status: str) -> str:
+    """SQL of a field's lines in a result document; null where value and raw value are empty."""
+    other = f"""case when {raw} <> '' and {raw} <> {value} then '      "raw_value" : "' || {raw} || '",\n' else '' end"""
+    return f"""case when {raw} <> '' then '    "{name}" : {{\n      "confidence" : 0.8999999761581421,\n      "extraction_method" : "anchor_right",\n' || {other}
+        || '      "validation_status" : "' || {status} || '",\n      "value" : "' || {value} || '"\n    }}' end"""
+
+
+def _result_sql() -> str:
+    names, genders, ages = _strip("name"), _strip("gender"), _strip("age")
+    sex, years = _gender("gender"), _age("age")
+    parsed, known = f"({years} >= 0)", f"({sex} <> '')"
+    fields = (
+        _field_text("age", "age_value", "age_raw", f"case when {parsed} then 'valid' else 'uncertain' end"),
+        _field_text("gender", "gender_value", "gender_raw", f"case when {known} then 'valid' else 'uncertain' end"),
+        _field_text("name", "name_value", "name", "case when name_value = '' then 'invalid' else 'valid' end"),
+    )
+    head = """'{\n  "document" : {\n    "image_height" : 3508,\n    "image_width" : 2480,\n    "page_type" : "unknown",\n    "template_id" : "report",\n    "type" : "ultrasound_report"\n  },
+  "error_code" : 0,\n  "message" : "Success",\n  "patient" : {\n'"""
+    tail = """'\n  },\n  "quality" : {\n    "blur_score" : 0.0,\n    "document_detected" : true,\n    "is_blurry" : false,\n    "is_overexposed" : false\n  },\n  "success" : true,\n  "warnings" : [ '"""
+    told = f"""concat_ws(', ', case when age <> '' and not {parsed} then '"Age could not be parsed: ''' || {ages} || '''"' end,
+        case when gender <> '' and not {known} then '"Gender value could not be normalized: ''' || gender || '''"' end, '"Matched template: report (score: 12)"')"""
+    shown = f"""select *, {names} as name_value, case when {known} then {sex} else {genders} end as gender_value, case when {known} then {genders} else gender end as gender_raw,
+        case when {parsed} then cast({years} as varchar) else {ages} end as age_value, case when {parsed} then {ages} else age end as age_raw from ({_REPORTS}) as r"""
+    return f"select doc_id, 0 as error_code, {head} || concat_ws(',\n', {', '.join(fields)}) || {tail} || {told} || ' ]\n}}' as json from ({shown}) as t"
+
+
+@_query(_result_sql())
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result documents of the same reports."""
     return result.as_json(pipeline.from_boxes(_report_docs(spark, sf_dir), templates.from_json(spark, [_REPORT_TEMPLATE]), as_of=F.lit("2026-07-20")))
