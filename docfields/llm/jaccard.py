@@ -39,6 +39,8 @@ HASHES, BLOCK = 5, 256
 COUNTERS, PARTS = 1 << 20, 64
 #: Matrix entries that a task gathers before it sends them.
 GATHER = 1 << 20
+#: Matrix entries about which a range of tokens holds: there are more ranges, and tasks, for more entries.
+RANGE = 4 << 20
 
 #: Bytes of texts whose tokens are made together.
 TOGETHER = 1 << 19
@@ -317,14 +319,21 @@ def _matrix(sets: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
             yield out()
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, held = zstandard.ZstdDecompressor(), []
+        waiting: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
-            for t, of, groups, size in zip(*(batch.column(c).to_pylist() for c in ("tokens", "of", "groups", "size")), strict=True):
-                t = np.ascontiguousarray(np.frombuffer(press.decompress(t), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-                of = np.ascontiguousarray(np.frombuffer(press.decompress(of), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                held.append((t, np.frombuffer(groups, np.int64)[of >> 1], (of & 1).astype(bool), np.frombuffer(size, np.int32)[of >> 1]))
-        if not held:
-            return
+            for r, *blobs in zip(*(batch.column(c).to_pylist() for c in ("range", "tokens", "of", "groups", "size")), strict=True):
+                waiting.setdefault(r, []).append(tuple(blobs))
+        # Blocks stay packed until their range's turn: one range at a time is unpacked.
+        for r in list(waiting):
+            yield from met(waiting.pop(r))
+
+    def met(blocks: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+        press, held = zstandard.ZstdDecompressor(), []
+        while blocks:
+            t, of, groups, size = blocks.pop()
+            t = np.ascontiguousarray(np.frombuffer(press.decompress(t), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+            of = np.ascontiguousarray(np.frombuffer(press.decompress(of), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            held.append((t, np.frombuffer(groups, np.int64)[of >> 1], (of & 1).astype(bool), np.frombuffer(size, np.int32)[of >> 1]))
         t, g, late, n = (np.concatenate(x) for x in zip(*held, strict=True))
         t, g, late, n = _firsts(t, g, late, n)
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -364,7 +373,10 @@ def _joined(docs: DataFrame) -> DataFrame:
     grouped = sets.select("sid").distinct().join(known, F.col("sid") == F.col("node"), "left").join(size, F.col("comp") == F.col("of"), "left")
     grouped = cut(grouped.select("sid", F.coalesce("comp", "sid").alias("grp"), F.coalesce("members", F.lit(1)).alias("members")))
     named = sets.join(grouped.select("sid", "grp", (F.col("members") == 1).alias("alone")), "sid")
-    near = cut(_matrix(named, sketch(full), partitions(spark)))
+    order = sketch(full)
+    # A set enters with the tokens that it can't do without, about a quarter of them.
+    entries = int(order.sum(dtype=np.int64)) * (100 - PERCENT) // 100
+    near = cut(_matrix(named, order, max(partitions(spark), -(-entries // RANGE))))
     release(spark)
     counts = grouped.select("grp", "members").distinct()
     near = near.join(counts.toDF("p", "mp"), "p").join(counts.toDF("q", "mq"), "q")

@@ -45,6 +45,16 @@ def test_against_brute_force(documents):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+def test_many_ranges(documents, monkeypatch):
+    """More ranges of tokens than shuffle partitions, several of them in one task, give the same components."""
+    asked, matrix = [], op._matrix
+    monkeypatch.setattr(op, "_matrix", lambda sets, order, ranges: asked.append(ranges) or matrix(sets, order, ranges))
+    monkeypatch.setattr(op, "RANGE", 40)
+    rows = list(enumerate(corpus()))
+    assert sorted(tuple(r) for r in op.join(documents(rows)).collect()) == sorted(brute(rows))
+    assert asked[0] > 16
+
+
 def test_one_each(documents):
     rows = list(enumerate(corpus())) + [(900, None), (5, "same id"), (5, "same id")]
     want = brute(rows)
