@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, groups, mixed, packed, partitions, release, run_hashes, slices, unpacked
+from docfields.llm.base import cut, frugal, groups, mixed, packed, partitions, release, run_hashes, slices, unpacked
 from docfields.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -159,7 +159,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(rows: DataFrame) -> np.ndarray:
     """About how many sets hold each token, by the token's first bits: ``COUNTERS`` numbers, whatever the input."""
     parts = rows.where("part is not null").select("part", F.col("blob").alias("counts"))
-    rows = parts.repartition(PARTS, "part").mapInArrow(_sum, "part int, counts binary").collect()
+    rows = parts.repartition(PARTS, "part").mapInArrow(frugal(_sum), "part int, counts binary").collect()
     out = np.zeros(COUNTERS, np.uint32)
     for r in rows:
         out[r["part"] * (COUNTERS // PARTS) :][: COUNTERS // PARTS] = np.frombuffer(r["counts"], np.uint32)
@@ -202,7 +202,7 @@ def opened(sets: DataFrame, wanted: DataFrame) -> DataFrame:
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return rows.sortWithinPartitions("grp", "block", "query", "sid").select("grp", "block", "query", "sid", "blob").mapInArrow(go, "a long, b long")
+    return rows.sortWithinPartitions("grp", "block", "query", "sid").select("grp", "block", "query", "sid", "blob").mapInArrow(frugal(go), "a long, b long")
 
 
 def _linked_within(sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _linked_within(sets: DataFrame, wanted: DataFrame) -> DataFrame:
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
-    return rows.sortWithinPartitions("grp", "block", "sid").select("grp", "block", "sid", "blob").mapInArrow(go, "a long, b long")
+    return rows.sortWithinPartitions("grp", "block", "sid").select("grp", "block", "sid", "blob").mapInArrow(frugal(go), "a long, b long")
 
 
 def _groups(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -355,8 +355,8 @@ def _matrix(sets: DataFrame, order: np.ndarray, ranges: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["p", "q"])
 
-    entries = sets.select("grp", "alone", "blob").mapInArrow(gather, "range int, tokens binary, of binary, groups binary, size binary")
-    return entries.repartition(ranges, "range").mapInArrow(pair, "p long, q long").distinct()
+    entries = sets.select("grp", "alone", "blob").mapInArrow(frugal(gather), "range int, tokens binary, of binary, groups binary, size binary")
+    return entries.repartition(ranges, "range").mapInArrow(frugal(pair), "p long, q long").distinct()
 
 
 def _joined(docs: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     k1, k2 = _keys(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    full = cut(rows.mapInArrow(_sets, "doc_id long, n long, sid long, blob binary, k1 long, k2 long, mins array<long>, part int"))
+    full = cut(rows.mapInArrow(frugal(_sets), "doc_id long, n long, sid long, blob binary, k1 long, k2 long, mins array<long>, part int"))
     rows = full.where("part is null")
     # Equal sets of several tasks come several times; every step below takes them as one.
     sets = rows.where("blob is not null").select("sid", "n", "blob", "mins")

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, slices, through_arrow
+from docfields.llm.base import cut, frugal, slices, through_arrow
 
 SAMPLE, BYTES = 2000, 8 << 20
 PASSAGE, WIDTH = 400, 512
+#: Passages that are encoded at once.
+AT_ONCE = 256
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE = 12, 64, 3e-3
 ACCEPT = 0.7
@@ -41,7 +43,16 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     nth = np.arange(bags.sum()) - np.repeat(first, bags)
     n, k = np.repeat(sizes, bags), np.repeat(bags, bags)
     lengths = (nth + 1) * n // k - nth * n // k
-    joined = np.frombuffer(b"".join(texts), np.uint8)
+    joined, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths)
+    out = np.empty((len(lengths), WIDTH + 2), np.float32)
+    for at in range(0, len(lengths), AT_ONCE):  # the steps between hold many times the bytes of the passages
+        own = lengths[at : at + AT_ONCE]
+        out[at : at + AT_ONCE] = _encoded(joined[ends[at] - own[0] : ends[at] + own[1:].sum()], own)
+    return out, bags
+
+
+def _encoded(joined: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Encodings of passages of these lengths that stand one after the other."""
     owner = np.repeat(np.arange(len(lengths)), lengths)
     pair = _FIRST[joined[:-1]] + _SECOND[joined[1:]] if len(joined) > 1 else np.zeros(0, np.int64)
     same = owner[1:] == owner[:-1]
@@ -49,7 +60,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     share = counts / np.maximum(1, lengths)[:, None]
     dense = np.sqrt((share**2).sum(1))
     extra = np.stack([4 * dense, np.log1p(lengths) / 6], 1)
-    return np.concatenate([4 * np.sqrt(share), extra], 1).astype(np.float32), bags
+    return np.concatenate([4 * np.sqrt(share), extra], 1)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: str = "true") -> Model:
     if not chosen:
         return fit([])
     own = found.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id")
-    rows = own.select("label", "doc_id", "text").mapInArrow(_encode, "label int, doc_id long, bag binary").collect()
+    rows = own.select("label", "doc_id", "text").mapInArrow(frugal(_encode), "label int, doc_id long, bag binary").collect()
     rows.sort(key=lambda r: (r["label"], r["doc_id"]))
     return fit([(r["label"], np.frombuffer(r["bag"], np.float16).reshape(-1, WIDTH + 2)) for r in rows])
 
@@ -157,7 +168,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch, texts in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(texts), pa.float64())], ["doc_id", "score"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(go, "doc_id long, score double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(frugal(go), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:

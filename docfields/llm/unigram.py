@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfields.llm.base import cut, groups, ragged, run_hashes, slices
+from docfields.llm.base import cut, frugal, groups, ragged, run_hashes, slices
 
 MARK = "▁"
 #: How far below the least score a character without a piece stands.
@@ -573,7 +573,7 @@ def fit(docs: DataFrame, data: Vocabulary, rounds: int = ROUNDS) -> Vocabulary:
         if held:
             yield out()
 
-    units = cut(docs.selectExpr("cast(text as string) text").mapInArrow(count, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    units = cut(docs.selectExpr("cast(text as string) text").mapInArrow(frugal(count), "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")))
     normal = np.array([k == "normal" for k in data.kinds])
     chars, pieces = np.array([len(p) for p in data.pieces]), len(data.pieces)
 
@@ -607,7 +607,7 @@ def fit(docs: DataFrame, data: Vocabulary, rounds: int = ROUNDS) -> Vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], ["piece", "n"])
 
         counts = np.zeros(pieces)
-        for r in units.mapInArrow(go, "piece int, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
+        for r in units.mapInArrow(frugal(go), "piece int, n long").groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect():
             counts[r["piece"]] = float(r["n"]) / PARTS
         if cost is None:
             counts *= chars
@@ -653,7 +653,8 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
                 ],
                 ["doc_id", "n_ids", "n_byte_ids", "ids", "round_trip", "decoded_sha256"],
             )
+        data._forget()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(
-        go, "doc_id long, n_ids long, n_byte_ids long, ids array<int>, round_trip boolean, decoded_sha256 string"
+        frugal(go), "doc_id long, n_ids long, n_byte_ids long, ids array<int>, round_trip boolean, decoded_sha256 string"
     )

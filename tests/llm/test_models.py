@@ -1,11 +1,13 @@
 import itertools
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from docfields.llm import ann, entry, fingerprints, mixing, quality, unigram
+from docfields.llm import ann, base, entry, fingerprints, mixing, quality, unigram
 
 SF = "/root/testdata/sf0.001"
 
@@ -351,3 +353,36 @@ def _sum(rows):
     for r in rows:
         out[r["doc_id"]] = out.get(r["doc_id"], 0) + r["taken"]
     return out
+
+
+def test_quality_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 399, 2 << 20, 0, 700, 5000)]
+    tracemalloc.start()
+    x, bags = quality.passages(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * x.nbytes  # 118 MB a slice of 2 MB once
+    assert bags.tolist() == [1, 1, 1, 5243, 1, 2, 13] and len(x) == bags.sum()
+    for t, e, n in zip(texts, np.cumsum(bags), bags, strict=True):
+        assert (x[e - n : e] == quality.passages([t])[0]).all()
+
+
+def test_workers_give_memory_back(spark):
+    def go(batches):
+        for batch in batches:
+            held = [bytes(1000) for _ in range(100_000)] + [np.ones(1 << 20) for _ in range(4)]
+            top = bytes(1000)
+            yield batch
+            del held
+        held = top
+
+    def resident(batches):
+        for batch in batches:
+            pages = int(open("/proc/self/statm").read().split()[1])
+            yield pa.RecordBatch.from_arrays([pa.array([pages >> 8], pa.int64())], ["mb"])
+
+    rows = spark.range(1).coalesce(1)
+    before = rows.mapInArrow(resident, "mb long").first()[0]
+    rows.mapInArrow(base.frugal(go), "id long").collect()
+    assert rows.mapInArrow(resident, "mb long").first()[0] < before + 48
