@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docfields.config import Engine as Settings
@@ -85,6 +86,23 @@ def test_bytes_to_results(spark, tmp_path):
     assert [r["error_code"] for r in made.recognize_files(str(tmp_path)).collect()] == [0]
 
 
+def test_small_images_leave_together():
+    def sent(contents):
+        batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(contents))]), pa.array(contents, pa.binary())], ["doc_id", "content"])
+        return list(images._decoded(iter([batch.slice(0, 0), batch])))
+
+    small = [b"P5 3 2 255\n" + bytes([i % 256] * 6) for i in range(2000)]
+    one = sent([None, b"", b"P5 3 2 255\nxx", *small])
+    assert [len(b) for b in one] == [2003]  # a batch each once
+    rows = one[0].to_pylist()
+    assert [r["error_code"] for r in rows[:4]] == [9001, 9001, 2003, 0] and [r["doc_id"] for r in rows] == [str(i) for i in range(2003)]
+    assert [r["image"] for r in rows[:3]] == [None] * 3
+    assert [r["image"] for r in rows[3:]] == [{"height": 2, "width": 3, "n_channels": 3, "data": bytes([i % 256] * 18)} for i in range(2000)]
+    large = b"P5 2000 1000 255\n" + bytes(2_000_000)  # 6 MB decoded
+    whole = sent([small[0], large, small[1], None, large, b"P5 4000 1000 255\n" + bytes(4_000_000), small[2]])
+    assert [[r["doc_id"] for r in b.to_pylist()] for b in whole] == [["0", "1", "2", "3"], ["4"], ["5"], ["6"]]
+
+
 def test_engines_from_bytes_and_files(tmp_path):
     class Sized:
         name = "sized"
