@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import tracemalloc
 
 import duckdb
@@ -297,6 +298,70 @@ def test_likeness_against_whole_sets(monkeypatch):
     assert sum(x > 0.15 for x in near[:60]) >= 54 and sorted(near[60:])[54] < 0.2
 
 
+def plain_fingerprint(text: bytes) -> list[int]:
+    """The same parse, symbol by symbol."""
+    word, mixed = (1 << 64) - 1, lambda x: int(fingerprints._mix(np.array([x], np.uint64))[0])
+    low = lambda x: (x & -x).bit_length() - 1
+    names, levels = list(text), []
+    for level in range(1, max(fingerprints.LEVELS) + 1):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [x if n == 1 else mixed(x + n * 0xD6E8FEB86659FD93 & word) for x, n in runs]
+        labels = names
+        for _ in range(fingerprints.ROUNDS):
+            labels = [2 * (k := low(x ^ y)) + (x >> k & 1) for x, y in zip(labels, [x ^ 1 for x in labels[:1]] + labels, strict=False)]
+        cuts = [i for i in range(len(names)) if i == 0 or i + 1 < len(names) and labels[i - 1] < labels[i] > labels[i + 1]]
+        parts = [names[i:j] for i, j in zip(cuts, cuts[1:] + [len(names)], strict=False)]
+        names = [mixed(sum(mixed(x + (i + 1) * 0xC2B2AE3D27D4EB4F & word) for i, x in enumerate(part)) & word) for part in parts]
+        levels.append([mixed(x + level & word) >> 32 for x in names])
+    found = {fingerprints.xxhash.xxh3_64_intdigest(text) >> 32 & ~1} | {x & ~1 for level in fingerprints.LEVELS for x in levels[level - 1]}
+    for level in range(2, min(fingerprints.LEVELS) + 1):
+        if len(levels[level - 1]) < fingerprints.FEW:
+            found |= {x | 1 for x in levels[level - 2]}
+    return sorted(found)[: fingerprints.SKETCH]
+
+
+def test_fingerprints_against_a_plain_parse():
+    rng = random.Random(11)
+    run = lambda: bytes([rng.randrange(256)]) * rng.randint(1, 40)
+    texts = [b"", b"a", b"aa", b"ab", b"aab", b"abb", b"", b"z" * 500, b"ab" * 300, bytes(range(256)) * 2, "dé€😀".encode() * 20]
+    texts += [bytes(rng.choice(b"ab \xff\0") for _ in range(rng.randint(1, 900))) for _ in range(30)]
+    texts += [b"".join(run() for _ in range(rng.randint(1, 60))) for _ in range(30)] + [rng.randbytes(6000)]
+    want = [plain_fingerprint(t) for t in texts]
+    assert [x.tolist() for x in fingerprints.fingerprints(texts)] == want
+    assert [fingerprints.fingerprints([t])[0].tolist() for t in texts] == want and len(want[-1]) == fingerprints.SKETCH
+
+
+def test_comparing_texts_takes_little_work():
+    """CPU seconds of parsing and of likenesses against those of a fixed number of passes over numbers that fit a cache."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(390)) for _ in range(800)]
+    press = fingerprints.zstandard.ZstdCompressor(1)
+    columns = [[0] * len(texts), list(range(len(texts))), [press.compress(t.encode()) for t in texts], [False] * len(texts)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "doc_id", "blob", "lent"])
+
+    def passes():
+        x = np.arange(1 << 15, dtype=np.uint64)
+        for _ in range(100 * sum(map(len, texts)) // len(x)):
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    compare = lambda: list(fingerprints._compare(iter([batch])))
+    compare()
+    taken = min(seconds(compare) for _ in range(3)) / min(seconds(passes) for _ in range(3))
+    assert taken < 3, taken
+
+
 def test_neighbouring_labels_differ():
     rng = np.random.default_rng(1)
     names = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64))
